@@ -25,6 +25,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectide.llm.suffix_dedup import repeated_spans
+
+    return repeated_spans(_table(spark, sf_dir, "documents"), length=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -39,8 +45,19 @@ l AS (SELECT x, y FROM p WHERE {den} * c >= {num} * (na + nb - c)),
 u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r AS (SELECT doc_id AS v, doc_id AS root FROM s UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.v)"""
 
+#: Spans that passages of 50 words cover which stand at two places at least.
+SQL_REPEATS = """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS i FROM w WHERE len(ws) >= 50),
+h AS (SELECT doc_id, i, array_to_string(ws[i + 1:i + 50], ' ') AS g FROM p),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM h),
+f AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM c WHERE n > 1),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM f)
+SELECT doc_id, CAST(min(i) AS BIGINT) AS start_word, CAST(max(i) + 50 AS BIGINT) AS end_word, CAST(max(i) + 50 - min(i) AS BIGINT) AS n_words FROM g GROUP BY doc_id, span"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_suffix_dedup": SQL_REPEATS,
         "op4_ngram_join": f"WITH RECURSIVE {SQL_SETS.format(n=3, num=90, den=100)} SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.component_id FROM s JOIN (SELECT v, min(root) AS component_id FROM r GROUP BY v) m ON m.v = s.doc_id",
     }
