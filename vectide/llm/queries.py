@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectide.llm.rule_ensemble import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7, folds=4, held_out=2, sample=20_000)
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vectide.llm.ngram_join import ngram_components
 
