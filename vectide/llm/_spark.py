@@ -24,6 +24,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """Within it, jobs hand Arrow batches of at most about ``size`` bytes to Python, so long rows don't add up in memory."""
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
 class Scratch:
     """Intermediate tables in the shared folder. They survive the loss of executors and end with the session, or with drop()."""
 
@@ -35,7 +49,8 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.mode("overwrite").parquet(path)
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
