@@ -23,6 +23,12 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), n=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectide.llm.language_id import language_ids
+
+    return language_ids(_table(spark, sf_dir, "documents"), folds=4, held_out=2).select("doc_id", "held_out", "lang_pred", "score", "n_spans")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
