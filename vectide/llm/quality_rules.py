@@ -149,31 +149,31 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows or [np.zeros(0, np.int32)]), np.concatenate(cols or [np.zeros(0, np.int32)]), np.concatenate(vals or [np.zeros(0, np.float32)])
 
 
-def fit(texts: list[str], labels: np.ndarray, steps: int = 60, rate: float = 4.0, l2: float = 1e-6) -> Model:
-    """Logistic regression by AdaGrad on four fifths of the rows, Platt scaling on the last fifth."""
-    zero = Model(np.zeros((2, 1 << BITS), np.float32), 0.0, 0.0, 40.0)
+def fit(texts: list[str], labels: np.ndarray, epochs: int = 25, rate: float = 4.0, group: int = 250) -> Model:
+    """Logistic regression by AdaGrad on four fifths of the rows, Platt scaling on the last fifth. Groups of rows bound the memory of a step."""
     if len(set(labels.tolist())) < 2:
-        return zero
+        return Model(np.zeros((2, 1 << BITS), np.float32), 0.0, 0.0, 40.0)
     n, y = len(texts), labels.astype(np.float64)
-    row, col, val = features(texts)
-    used, at = np.unique(col, return_inverse=True)
-    w, g2, bias, gb2 = np.zeros(len(used)), np.full(len(used), 1e-8), 0.0, 1e-8
-    held = np.arange(n) % 5 == 4
-    held &= n >= 20
-    weight = np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum())) * ~held
-    for _ in range(steps):
-        p = sigmoid(bias + np.bincount(row, val * w[at], minlength=n))
-        e = (p - y) * weight
-        g = np.bincount(at, val * e[row], minlength=len(used)) + l2 * w
-        g2 += g * g
-        gb2 += e.sum() ** 2
-        w -= rate * g / np.sqrt(g2)
-        bias -= 0.1 * e.sum() / np.sqrt(gb2)
-    m = bias + np.bincount(row, val * w[at], minlength=n)
+    held = (np.arange(n) % 5 == 4) & (n >= 20)
+    weight = np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum()))
+    parts = [(rows, *features([texts[i] for i in rows])) for held_part in (False, True) for rows in np.array_split(np.flatnonzero(held == held_part), max(1, n // group)) if len(rows)]
+    w, g2, bias, gb2 = np.zeros(2 << BITS), np.full(2 << BITS, 1e-8), 0.0, 1e-8
+    margin = lambda rows, row, col, val: bias + np.bincount(row, val * w[col], minlength=len(rows))
+    for _ in range(epochs):
+        for rows, row, col, val in parts:
+            if held[rows[0]]:
+                continue
+            e = (sigmoid(margin(rows, row, col, val)) - y[rows]) * weight[rows]
+            g = np.bincount(col, val * e[row], minlength=len(w))
+            g2 += g * g
+            gb2 += e.sum() ** 2
+            w -= rate * g / np.sqrt(g2)
+            bias -= 0.1 * e.sum() / np.sqrt(gb2)
+    m = np.zeros(n)
+    for rows, row, col, val in parts:
+        m[rows] = margin(rows, row, col, val)
     slope, shift = platt(m[held], y[held]) if held.any() and len(set(y[held].tolist())) == 2 else (1.0, 0.0)
-    tables = np.zeros(2 << BITS, np.float32)
-    tables[used] = w
-    return Model(tables.reshape(2, -1), bias, slope, shift)
+    return Model(w.astype(np.float32).reshape(2, -1), float(bias), slope, shift)
 
 
 def platt(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -201,7 +201,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int)
     return [x or "" for x in found["text"].to_pylist()], found["label"].to_numpy().astype(np.int64)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 4000, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 2000, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """Per row of docs(doc_id, text): the base counts, base_failed, probability (of good quality), kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(fit(*labelled_sample(docs, labels, "quality", sample)))

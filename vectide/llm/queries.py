@@ -46,7 +46,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vectide.llm.quality_rules import quality_rules
 
-    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.5, sample=4000)
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.5, sample=2000)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
