@@ -3,23 +3,26 @@
 Rare-first prefix filtering: the distinct word n-grams of a document are put in
 one global order, rarest first, and only a short prefix of each set is joined.
 Two sets that reach the threshold share an n-gram in their prefixes whatever the
-order is, so the order only decides the cost. Sizes (length filter), positions
-(positional filter) and the counts of 16 segments of the hash space (a one-step
-suffix filter) rule out most of what meets on a prefix n-gram; the rest is
-verified exactly.
+order is, so the order only decides the cost. It has three tiers: a share of the
+n-grams picked by hash, by their exact document frequency; the other n-grams, by
+hash; and n-grams of hot buckets, by hash. The first tier is made large enough to
+fill the prefix, so frequencies of the other n-grams are never needed. Its
+n-grams of frequency 1 fill the first places of a prefix and join with nothing.
+Sizes (length filter), places (positional filter) and the counts of 16 segments
+of the hash space (a one-step suffix filter) rule out most of what meets on a
+prefix n-gram; the rest is verified exactly.
 
 Scale. Identical sets are one class from the first task on, and a task emits a
-class once, so a group of copies costs a row per task. Pairs are formed inside a
-sorted stream of prefix n-grams and leave it as a spanning forest, never as all
-pairs. Classes whose candidates hang together are verified side by side: each
-class is read once, in blocks where a group is large, and a pair whose classes
-are linked already is not compared again, as it cannot change a component.
-Evicting by the length filter bounds what a stream holds.
-
-Document frequencies are counted over all documents, in 2**18 buckets of the
-hash space: a fixed 2 MB however large the corpus. n-grams and sets are known by
-64-bit hashes; two different sets of n documents collide with a chance below
-n**2 / 2**65.
+class once, so a group of copies costs a row per task. n-grams in over a
+sixteenth of all documents are known by a table of 2**18 bucket counts (a fixed
+2 MB, counted over all documents) and are not shuffled to be counted. Pairs are
+formed inside a sorted stream of prefix n-grams and leave it as a spanning
+forest, never as all pairs. Classes whose candidates hang together are verified
+side by side: each class is read once, in blocks where a group is large, and a
+pair whose classes are linked already is not compared again, as it cannot change
+a component. Evicting by the length filter bounds what a stream holds. n-grams
+and sets are known by 64-bit hashes; two different sets of n documents collide
+with a chance below n**2 / 2**65.
 
 Edge cases: a document with fewer words than n has its whole sequence as one
 n-gram; a null, empty or blank text has none and links with nothing (its
@@ -135,27 +138,101 @@ def survey(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, bucket int, df long")
 
 
-def prefixes(docs: DataFrame, n: int, num: int, den: int, frequency) -> DataFrame:
-    """(token, class, size, place, s0, s1): the rare-first prefix of every class, once per task."""
-    schema = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64())])
+def ordered(docs: DataFrame, n: int, num: int, den: int, hot) -> DataFrame:
+    """What the prefix of every class is made of, once per task: three kinds of rows.
+
+    (token, class): n-grams of the first tier; (token, class, place): n-grams of later tiers that
+    the prefix reaches; (class, size, first, s0, s1): the class, with the size of its first tier.
+    """
+    schema = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("place", pa.int32()), ("size", pa.int32()), ("first", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64())])
+    share = U(min(256, -(-640 * (den - num) // den)))  # of 256: two and a half prefixes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, known = frequency.value, set()
+        is_hot, known = hot.value, set()
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            tokens, owners, places, infos = [], [], [], []
             for _, s in shingle_sets(b.column(0), n):
                 m = len(s)
                 if not m or (c := class_of(s)) in known:
                     continue
                 known.add(c)
                 p = m - -(-num * m // den) + 1
-                rare = s[np.argsort(df[(s & U(BUCKETS - 1)).astype(np.int64)], kind="stable")[:p]]
-                for col, v in zip(cols, (t.signed(rare), c, m, np.arange(p), *segments(s)), strict=True):
-                    col.append(np.broadcast_to(v, p))
-            if cols[0]:
-                yield batch(schema, *(np.concatenate(c).astype(k.to_pandas_dtype()) for c, k in zip(cols, schema.types, strict=True)))
+                common = is_hot[(s & U(BUCKETS - 1)).astype(np.int64)]
+                picked = ((s * U(0xD1342543DE82EF95)) >> U(56) < share) & ~common
+                first = s[picked]
+                later = np.concatenate([s[~picked & ~common], s[common]])[: max(0, p - len(first))]
+                tokens += [first, later]
+                owners.append(np.full(len(first) + len(later), c, np.int64))
+                places += [np.full(len(first), -1, np.int32), np.arange(len(first), len(first) + len(later), dtype=np.int32)]
+                infos.append((c, m, len(first), *segments(s)))
+            if infos:
+                flat, owner, place = t.signed(np.concatenate(tokens)), np.concatenate(owners), np.concatenate(places)
+                none = [pa.nulls(len(flat), k) for k in schema.types[3:]]
+                yield batch(schema, flat, owner, pa.array(place, mask=place < 0), *none)
+                c, m, f, s0, s1 = zip(*infos, strict=True)
+                yield batch(schema, pa.nulls(len(c), pa.int64()), c, pa.nulls(len(c), pa.int32()), m, f, s0, s1)
+
+    return docs.select("text").mapInArrow(run, "token long, class long, place int, size int, first int, s0 long, s1 long")
+
+
+#: Frequencies are counted up to here; a stream of one n-gram holds no more rows.
+MANY = 100_000
+
+
+def shared_tokens(tokens: DataFrame) -> DataFrame:
+    """(class, token, df) of tokens(token, class) that several classes have; df is MANY at most."""
+    schema = pa.schema([("class", pa.int64()), ("token", pa.int64()), ("df", pa.int32())])
 
-    return docs.select("text").mapInArrow(run, "token long, class long, size int, place int, s0 long, s1 long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, owner, flood = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+        def emit(token: np.ndarray, owner: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(token):
+                df = np.searchsorted(token, token, "right") - np.searchsorted(token, token, "left")
+                keep = df > 1
+                if keep.any():
+                    yield batch(schema, owner[keep], token[keep], np.minimum(df[keep], MANY).astype(np.int32))
+
+        for rb in batches:
+            x, c = (v.to_numpy(zero_copy_only=False) for v in rb.columns)
+            if flood is not None:  # a token that is known to be in MANY classes streams through
+                n = int(np.searchsorted(x, flood, "right"))
+                if n:
+                    yield batch(schema, c[:n], x[:n], np.full(n, MANY, np.int32))
+                if n == len(x):
+                    continue
+                x, c, flood = x[n:], c[n:], None
+            x, c = np.concatenate([token, x]), np.concatenate([owner, c])
+            fresh = np.ones(len(x), bool)  # several tasks may have sent a class
+            fresh[1:] = (x[1:] != x[:-1]) | (c[1:] != c[:-1])
+            x, c = x[fresh], c[fresh]
+            if not len(x):
+                continue
+            cut = int(np.searchsorted(x, x[-1], "left"))
+            yield from emit(x[:cut], c[:cut])
+            token, owner = x[cut:], c[cut:]
+            if len(token) > MANY:
+                flood = token[0]
+                yield batch(schema, owner, token, np.full(len(token), MANY, np.int32))
+                token, owner = token[:0], owner[:0]
+        yield from emit(token, owner)
+
+    return tokens.repartition("token").sortWithinPartitions("token", "class").mapInArrow(run, "class long, token long, df int")
+
+
+def prefix_postings(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(token, class, size, place, s0, s1): the prefix n-grams that may be shared, from ordered() rows."""
+    infos = rows.where("token is null").select("class", "size", "first", "s0", "s1").dropDuplicates(["class"])
+    infos = infos.withColumn("prefix", F.expr(f"cast(size - (({num}L * size + {den - 1}) div {den}) + 1 as int)"))
+    shared = shared_tokens(rows.where("token is not null and place is null").select("token", "class"))
+    # n-grams of frequency 1 come before those of several classes
+    listed = shared.groupBy("class").agg(F.collect_set(F.struct("df", "token")).alias("t")).join(infos, "class")
+    alone = F.col("first") - F.size("t")
+    listed = listed.where(alone < F.col("prefix")).withColumn("alone", alone)
+    first = listed.select("class", "size", "s0", "s1", "alone", F.posexplode(F.slice(F.array_sort("t"), F.lit(1), F.col("prefix") - F.col("alone"))).alias("i", "x"))
+    first = first.select(F.col("x.token").alias("token"), "class", "size", (F.col("alone") + F.col("i")).alias("place"), "s0", "s1")
+    later = rows.where("place is not null").select("token", "class", "place").join(infos, "class").select("token", "class", "size", "place", "s0", "s1")
+    return first.unionAll(later)
 
 
 def candidates(postings: DataFrame, num: int, den: int) -> DataFrame:
@@ -314,7 +391,10 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     df = np.zeros(BUCKETS, np.int64)
     df[counts["bucket"].to_numpy(np.int64)] = counts["df"].to_numpy(np.int64)
     rows = found.where("bucket is null").select("doc_id", "n_shingles", "class")
-    edges = scratch.save(candidates(prefixes(docs, n, num, den, spark.sparkContext.broadcast(df)), num, den))
+    hot = spark.sparkContext.broadcast(df > max(256, rows.count() // 16))
+    parts = scratch.save(ordered(docs, n, num, den, hot))
+    edges = scratch.save(candidates(prefix_postings(parts, num, den), num, den))
+    scratch.drop(parts)
     groups = connected_components(edges, scratch)
     sets = class_sets(docs, n, spark.sparkContext.broadcast(class_filter(groups.select(F.col("id").alias("class")))))
     links = scratch.save(verified(sets.join(in_blocks(groups), "class"), num, den))
