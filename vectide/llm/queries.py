@@ -17,6 +17,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), q=9, rate=0.08, window=128)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectide.llm.ppm import held_out_scores
+
+    return held_out_scores(_table(spark, sf_dir, "documents"), folds=5, held_out=1)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vectide.llm.rule_ensemble import quality_scores
 
