@@ -41,6 +41,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_ids(_table(spark, sf_dir, "documents"), folds=4, held_out=2).select("doc_id", "held_out", "lang_pred", "score", "n_spans")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectide.llm.license_scan import license_matches
+
+    return license_matches(_table(spark, sf_dir, "documents"), percent=80)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -95,7 +101,10 @@ SELECT doc_id, CAST(min(i) AS BIGINT) AS start_word, CAST(max(i) + 50 AS BIGINT)
 
 
 def oracle_sql() -> dict[str, str]:
+    from vectide.llm import license_scan
+
     return {
+        "op6_license_scan": license_scan.sql(percent=80),
         "op8_suffix_dedup": SQL_REPEATS,
         "op4_ngram_join": f"WITH RECURSIVE {SQL_SETS.format(n=3, num=90, den=100)} SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.component_id FROM s JOIN (SELECT v, min(root) AS component_id FROM r GROUP BY v) m ON m.v = s.doc_id",
     }
