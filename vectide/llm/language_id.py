@@ -214,7 +214,19 @@ def learn(rows: DataFrame, max_languages: int) -> Model | None:
     return Model(languages, bits, weights.astype(np.float32), allowed)
 
 
-def labelled_spans(docs: DataFrame, model: Model | None, penalty: float, min_letters: int = 1) -> DataFrame:
+def shares(b: np.ndarray, offsets: np.ndarray, model: Model, penalty: float) -> tuple[np.ndarray, np.ndarray, WordView, np.ndarray, np.ndarray]:
+    """(language number or -1, its share of the letters) of each document of a slice, and the words with their documents and labels."""
+    n, width = len(offsets) - 1, len(model.languages)
+    v = view(b, offsets, model.bits)
+    label = viterbi(model.word_scores(v), v.first, penalty)
+    doc = np.repeat(np.arange(n), np.diff(v.first))
+    share = np.bincount(doc * width + label, v.letters, n * width).reshape(n, width)
+    letters = share.sum(axis=1)
+    best = np.where(letters > 0, share.argmax(axis=1), -1)
+    return best, np.where(best >= 0, share.max(axis=1) / np.maximum(1, letters), 0.0), v, doc, label
+
+
+def labelled_spans(docs: DataFrame, model: Model | None, penalty: float) -> DataFrame:
     """(doc_id, lang_pred, score, n_spans, spans [(start_word, end_word, lang)]) of docs(doc_id, text)."""
     span = pa.struct([("start_word", pa.int64()), ("end_word", pa.int64()), ("lang", pa.string())])
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("n_spans", pa.int64()), ("spans", pa.list_(span))])
@@ -232,13 +244,7 @@ def labelled_spans(docs: DataFrame, model: Model | None, penalty: float, min_let
                     z = np.zeros(0, np.int64)
                     parts.append((np.full(n, -1), np.zeros(n), np.zeros(n, np.int64), z, z, z))
                     continue
-                v = view(b, offsets, model.bits)
-                label = viterbi(model.word_scores(v), v.first, penalty)
-                doc = np.repeat(np.arange(n), np.diff(v.first))
-                share = np.bincount(doc * width + label, v.letters, n * width).reshape(n, width)
-                letters = share.sum(axis=1)
-                best = np.where(letters >= min_letters, share.argmax(axis=1), -1)
-                score = np.where(best >= 0, share.max(axis=1) / np.maximum(1, letters), 0.0)
+                best, score, v, doc, label = shares(b, offsets, model, penalty)
                 new = np.ones(len(doc), bool)
                 new[1:] = (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])
                 at = np.flatnonzero(new)
@@ -261,3 +267,23 @@ def language_ids(docs: DataFrame, folds: int = 4, held_out: int = 2, penalty: fl
     rows = docs.where(~fold & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     found = labelled_spans(docs, learn(rows, max_languages), penalty)
     return found.withColumn("held_out", fold).select("doc_id", "held_out", "lang_pred", "score", "n_spans", "spans")
+
+
+def of_known_language(docs: DataFrame, min_score: float = 0.5, penalty: float = 10.0, max_languages: int = 256) -> DataFrame:
+    """The rows of docs, all columns, whose text is in one of the languages of their ``lang`` column, which all of them teach.
+
+    A text is rejected if it has no letters or if no language covers ``min_score`` of them.
+    """
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    shared, at = docs.sparkSession.sparkContext.broadcast(learn(rows, max_languages)), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for rb in batches:
+            keep = np.zeros(rb.num_rows, bool)
+            for lo, hi, b, offsets in t.slices(rb.column(at)) if model else ():
+                best, score = shares(b, offsets, model, penalty)[:2]
+                keep[lo:hi] = (best >= 0) & (score >= min_score)
+            yield rb.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -114,14 +114,14 @@ class Forest:
 
 
 def survey(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, n_shingles, class) of all documents, and rows (bucket, df) with each task's document frequencies."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("bucket", pa.int32()), ("df", pa.int64())])
+    """Rows (doc_id, text_key, n_shingles, class) of all docs(doc_id, text_key, text), and rows (bucket, df) with each task's document frequencies."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("bucket", pa.int32()), ("df", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, known = np.zeros(BUCKETS, np.int64), set()
         for b in batches:
             size, name, fresh = [], [], []
-            for _, s in shingle_sets(b.column(1), n):
+            for _, s in shingle_sets(b.column(2), n):
                 c = class_of(s)
                 size.append(len(s))
                 name.append(c)
@@ -130,12 +130,12 @@ def survey(docs: DataFrame, n: int) -> DataFrame:
                     fresh.append(s)
             if fresh:
                 df += np.bincount((np.concatenate(fresh) & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-            yield batch(schema, b.column(0), size, name, pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.int64()))
+            yield batch(schema, b.column(0), b.column(1), size, name, pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.int64()))
         at = np.flatnonzero(df)
         none = pa.nulls(len(at), pa.int64())
-        yield batch(schema, none, none, none, at.astype(np.int32), df[at])
+        yield batch(schema, none, none, none, none, at.astype(np.int32), df[at])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, bucket int, df long")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, class long, bucket int, df long")
 
 
 def ordered(docs: DataFrame, n: int, num: int, den: int, hot) -> DataFrame:
@@ -145,7 +145,7 @@ def ordered(docs: DataFrame, n: int, num: int, den: int, hot) -> DataFrame:
     the prefix reaches; (class, size, first, s0, s1): the class, with the size of its first tier.
     """
     schema = pa.schema([("token", pa.int64()), ("class", pa.int64()), ("place", pa.int32()), ("size", pa.int32()), ("first", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64())])
-    share = U(min(256, -(-640 * (den - num) // den)))  # of 256: two and a half prefixes
+    share = U(min(256, -(-448 * (den - num) // den)))  # of 256: one and three quarters of a prefix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_hot, known = hot.value, set()
@@ -382,15 +382,15 @@ def in_blocks(members: DataFrame) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, class, component_id) of every row of docs(doc_id, text); sets link when den * |A and B| >= num * |A or B|."""
+    """(doc_id, text_key, n_shingles, class, component_id) of every row of docs(doc_id, text); sets link when den * |A and B| >= num * |A or B|."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     found = scratch.save(survey(docs, n))
     counts = found.where("bucket is not null").groupBy("bucket").agg(F.sum("df").alias("df")).toPandas()  # BUCKETS rows at most
     df = np.zeros(BUCKETS, np.int64)
     df[counts["bucket"].to_numpy(np.int64)] = counts["df"].to_numpy(np.int64)
-    rows = found.where("bucket is null").select("doc_id", "n_shingles", "class")
+    rows = found.where("bucket is null").select("doc_id", "text_key", "n_shingles", "class")
     hot = spark.sparkContext.broadcast(df > max(256, rows.count() // 16))
     parts = scratch.save(ordered(docs, n, num, den, hot))
     edges = scratch.save(candidates(prefix_postings(parts, num, den), num, den))
@@ -404,5 +404,28 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     named = least.select("class", "doc_id", F.coalesce("component", "class").alias("component"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     names = named.join(smallest, "component").select("class", "component_id")
-    full = rows.where("n_shingles > 0").join(names, "class").select("doc_id", "n_shingles", "class", "component_id")
-    return full.unionAll(rows.where("n_shingles = 0").select("doc_id", "n_shingles", "class", F.col("doc_id").alias("component_id")))
+    full = rows.where("n_shingles > 0").join(names, "class").select("doc_id", "text_key", "n_shingles", "class", "component_id")
+    return full.unionAll(rows.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", "class", F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs, all columns, that stay when of every component only one row does.
+
+    It is the row with the smallest doc_id (null last), of those the one with the smallest hash of
+    its text; documents without n-grams all stay.
+    """
+    rows = ngram_components(docs, n, num, den)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    # the class of the component's smallest id names it, also where that id is null
+    kept = rows.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("class")).alias("c")).agg(F.min(order).alias("x"))
+    kept = kept.select(F.col("x.doc_id").alias("kept_id"), F.col("x.text_key").alias("kept_key"))
+    gone = rows.where("n_shingles > 0").join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    # repeated rows of a kept document: one stays
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
+    left = keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col("__key") == F.col("gone_key")), "left_anti")
+    again = rows.where("n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1").select(F.col("doc_id").alias("again_id"), F.col("text_key").alias("again_key"))
+    if again.isEmpty():
+        return left.select(docs.columns)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("again_id")) & (F.col("__key") == F.col("again_key"))
+    once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "__key"])
+    return left.join(again, same, "left_anti").unionAll(once).select(docs.columns)

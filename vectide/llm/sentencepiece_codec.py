@@ -350,7 +350,11 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
     return rows.select(*others, "ids").mapInArrow(run, schema)
 
 
-def encoding_digests(docs: DataFrame, path: str, giant: int = 1 << 16, chunk: int = 1 << 13) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc, round_trip) of every row: the number of ids, the CRC-32 of the ids, whether they decode to the text."""
-    rows = encoded(docs, path, giant, chunk).select("doc_id", "text_hash", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc"), "ids")
-    return decoded(rows, path).select("doc_id", "n_tokens", "ids_crc", (F.xxhash64("text") == F.col("text_hash")).alias("round_trip"))
+def encoding_digests(docs: DataFrame, path: str, giant: int = 1 << 16, chunk: int = 1 << 13, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_crc, round_trip) of every row: the number of ids, the CRC-32 of the ids, whether they decode to the text.
+
+    keep_ids: with the ids themselves, as 32-bit little-endian integers in token_ids.
+    """
+    more = [F.col("ids").alias("token_ids")] if keep_ids else []
+    rows = encoded(docs, path, giant, chunk).select("doc_id", "text_hash", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc"), *more, "ids")
+    return decoded(rows, path).select("doc_id", "n_tokens", "ids_crc", (F.xxhash64("text") == F.col("text_hash")).alias("round_trip"), *(["token_ids"] if keep_ids else []))
