@@ -73,7 +73,7 @@ def wire(data: bytes) -> Iterator[tuple[int, object]]:
 class Codec:
     """Encodes and decodes with one SentencePiece BPE model."""
 
-    def __init__(self, path: str, cache_size: int = 300_000):
+    def __init__(self, path: str, cache_size: int = 500_000):
         with open(path, "rb") as f:
             message = list(wire(f.read()))
         trainer = dict(wire(next(v for k, v in message if k == 2)))
@@ -92,11 +92,15 @@ class Codec:
         self.unknown = kinds.index(2)
         self.byte_ids = byte_ids if trainer.get(35) and len(byte_ids) == 256 else None
         self.longest = max(map(len, self.id))
+        self.reach: dict[str, int] = {}
+        for x in self.id:
+            self.reach[x[:2]] = max(len(x), self.reach.get(x[:2], 1))
         if any(SPACE in x.lstrip(SPACE) for x in self.id) or any("\n" in x for x in self.id if len(x) > 1):
             raise ValueError("pieces that run on into white space are not supported")
         self.bytes = [b"" if k in (2, 3) else bytes([int(x[3:5], 16)]) if k == 6 else x.replace(SPACE, " ").encode() for x, k in zip(self.names, kinds, strict=True)]
         self.pairs: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache_size = cache_size
 
     def merged(self, text: str) -> list[str]:
@@ -143,12 +147,29 @@ class Codec:
         return last
 
     def pieces(self, text: str) -> list[str]:
-        """The pieces of a text in which spaces are U+2581, traced back from its end."""
-        last, i, out = self.last_pieces(text, 0, len(text), None), len(text), []
-        while i:
-            out.append(last[i])
-            i -= len(last[i])
-        return out[::-1]
+        """The pieces of a text in which spaces are U+2581: the open path, searched depth first, long pieces first.
+
+        A place has one possible last piece, so a place that leads nowhere is closed for good.
+        """
+        n, ids, reach, follows = len(text), self.id, self.reach, self.follows
+        out: list[str] = []
+        closed: set[int] = set()
+        at, size = 0, min(n, reach.get(text[:2], 1))
+        while at < n:
+            while size:
+                piece = text[at : at + size]
+                if (size == 1 or piece in ids) and at + size not in closed and (not out or follows(out[-1], piece)):
+                    break
+                size -= 1
+            if size:
+                out.append(piece)
+                at += size
+                size = min(n - at, reach.get(text[at : at + 2], 1))
+            else:
+                closed.add(at)
+                size = len(out.pop()) - 1
+                at -= size + 1
+        return out
 
     def ids_of(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
@@ -167,7 +188,10 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as 32-bit integers."""
-        units, cache = UNITS.findall(self.escaped(text)), self.cache
+        return self.encode_escaped(self.escaped(text))
+
+    def encode_escaped(self, text: str) -> bytes:
+        units, cache = UNITS.findall(text), self.cache
         try:
             return b"".join(map(cache.__getitem__, units))
         except KeyError:
@@ -175,10 +199,13 @@ class Codec:
             for u in units:
                 x = cache.get(u)
                 if x is None:
-                    x = np.array(self.ids_of(self.pieces(u)), np.int32).tobytes()
+                    x = self.older.get(u)
+                    if x is None:
+                        x = np.array(self.ids_of(self.pieces(u)), np.int32).tobytes()
                     if len(u) <= 64:
-                        if len(cache) >= self.cache_size:
-                            cache.clear()
+                        if len(cache) >= self.cache_size // 2:  # what is used again comes back from the older half
+                            self.older, self.cache = cache, {}
+                            cache = self.cache
                         cache[u] = x
                 out.append(x)
             return b"".join(out)
@@ -201,12 +228,28 @@ class Codec:
                     found.append((p, end))
         return found
 
+    @staticmethod
+    def is_border(text: str, i: int) -> bool:
+        """Whether every path has a piece that ends at i."""
+        return text[i] == SPACE and text[i - 1] != SPACE or text[i] == "\n" or text[i - 1] == "\n"
+
+    def borders(self, text: str, begin: int, end: int) -> tuple[int, int] | None:
+        """The first and the last place in begin + 1 .. end - 1 where every path has a piece that ends."""
+        first = next((i for i in range(begin + 1, end) if self.is_border(text, i)), None)
+        return None if first is None else (first, next(i for i in range(end - 1, begin, -1) if self.is_border(text, i)))
+
     def transfer(self, text: str, begin: int, end: int) -> np.ndarray:
         """Weights from states(begin) to states(end): 0 for a path, minus infinity for none."""
         enter, leave = self.states(text, begin), self.states(text, end)
-        out = np.full((len(enter), len(leave)), MINUS)
         limit = min(len(text), end + self.longest - 1)
-        known = None
+        between = self.borders(text, max(at for _, at in enter), min(z - len(p) for p, z in leave))
+        if between:  # all paths meet at borders, so the matrix is a product of a column and a row
+            first, last = between
+            column = [0.0 if self.last_pieces(text, at, first, piece)[-1] is not None else MINUS for piece, at in enter]
+            tail = self.last_pieces(text, last, limit, None)
+            row = [0.0 if tail[z - last] == p else MINUS for p, z in leave]
+            return np.add.outer(np.array(column), np.array(row))
+        out, known = np.full((len(enter), len(leave)), MINUS), None
         for i, (piece, at) in enumerate(enter):
             last = [None] * at + self.last_pieces(text, at, limit, piece, known)
             for j, (p, z) in enumerate(leave):
@@ -216,13 +259,17 @@ class Codec:
                 known = last
         return out
 
-    def traced(self, text: str, enter: tuple[str | None, int], leave: tuple[str, int]) -> list[str]:
-        """The pieces from state ``enter`` (not included) to state ``leave``."""
-        last, i, out = self.last_pieces(text, enter[1], leave[1], enter[0]), leave[1], []
-        while i > enter[1]:
-            out.append(last[i - enter[1]])
-            i -= len(last[i - enter[1]])
-        return out[::-1]
+    def traced(self, text: str, enter: tuple[str | None, int], leave: tuple[str, int]) -> bytes:
+        """The ids of the pieces from state ``enter`` (not included) to state ``leave``."""
+        begin, end = enter[1], leave[1]
+        between = self.borders(text, begin, end)
+        stop = between[0] if between else end
+        last, i, out = self.last_pieces(text, begin, stop, enter[0]), stop, []
+        while i > begin:
+            out.append(last[i - begin])
+            i -= len(last[i - begin])
+        head = np.array(self.ids_of(out[::-1]), np.int32).tobytes()
+        return head + self.encode_escaped(text[stop:end])
 
 
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -302,8 +349,7 @@ def giant_ids(docs: DataFrame, path: str, chunk: int, scratch: Scratch) -> DataF
         for rb in batches:
             for r in rb.to_pylist():
                 enter, leave = c.states(r["text"], r["begin"])[r["enter"]], c.states(r["text"], r["end"])[r["leave"]]
-                found = c.ids_of(c.traced(r["text"], enter, leave))
-                yield batch(ids, [r["row"]], [r["doc_id"]], [r["text_hash"]], [r["chunk"]], [np.array(found, np.int32).tobytes()])
+                yield batch(ids, [r["row"]], [r["doc_id"]], [r["text_hash"]], [r["chunk"]], [c.traced(r["text"], enter, leave)])
 
     cuts = parts.mapInArrow(transfers, "row long, chunk long, states long, weights binary, ends array<long>")
     cuts = cuts.groupBy("row").applyInArrow(combine, "row long, chunk long, enter long, leave long")
