@@ -198,11 +198,15 @@ class Trie:
         return out
 
 
-def trained(counts: DataFrame, order: int, max_nodes: int) -> Trie:
+def trained(counts: DataFrame, order: int, max_nodes: int, scratch: Scratch) -> Trie:
     """The trie of at most ``max_nodes`` n-grams from summed (key, n) of order + 1 bytes."""
-    levels = [counts.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * (j + 1))) - 1)).alias("key")).agg(F.sum("n").alias("n")).withColumn("level", F.lit(j)) for j in range(order)]
-    nodes = counts.withColumn("level", F.lit(order))
-    for x in levels:
+    # each order's counts are sums of the next one's
+    levels = [counts.withColumn("level", F.lit(order))]
+    for j in range(order - 1, -1, -1):
+        key = F.col("key").bitwiseAND(F.lit((1 << (8 * (j + 1))) - 1))
+        levels.append(scratch.save(levels[-1].groupBy(key.alias("key")).agg(F.sum("n").alias("n")).withColumn("level", F.lit(j))))
+    nodes = levels[0]
+    for x in levels[1:]:
         nodes = nodes.unionByName(x)
     bucket = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.log2("n") * 16))
     sizes = nodes.groupBy("level", bucket.alias("b")).agg(F.count("*").alias("m"), F.min("n").alias("least")).collect()  # some 1,000 rows an order
@@ -227,7 +231,7 @@ def trained(counts: DataFrame, order: int, max_nodes: int) -> Trie:
     return Trie([(k.view(np.uint64)[o], c[o]) for k, c, o in ((key[level == j], n[level == j], np.argsort(key[level == j])) for j in range(order + 1))])
 
 
-def scores(docs: DataFrame, train: DataFrame, order: int = 6, max_nodes: int = 1 << 21, hot_words: int = 1 << 18) -> DataFrame:
+def scores(docs: DataFrame, train: DataFrame, order: int = 5, max_nodes: int = 1 << 20, hot_words: int = 1 << 18) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of docs(doc_id, text) under a model of train(text)."""
     scratch, sc = Scratch(docs.sparkSession), docs.sparkSession.sparkContext
     pick = lambda d: d.select(F.col("text").cast("string").alias("text"))
@@ -235,7 +239,7 @@ def scores(docs: DataFrame, train: DataFrame, order: int = 6, max_nodes: int = 1
     words = summed.where("kind = 1").select("key", "n")
     size = summed.where("kind > 0").agg(F.sum("n").alias("tokens"), F.count_if((F.col("kind") == 1) | (F.col("n") > 0)).alias("types"), F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("ends")).first()
     tokens, types, ends = (int(x or 0) for x in size)
-    model = sc.broadcast(trained(summed.where("kind = 0").select("key", "n"), order, max_nodes))
+    model = sc.broadcast(trained(summed.where("kind = 0").select("key", "n"), order, max_nodes, scratch))
     top = words.orderBy(F.desc("n"), "key").limit(hot_words).toArrow()
     hot = sc.broadcast((t.HashTable(np.ascontiguousarray(top["key"].to_numpy()).view(np.uint64)), top["n"].to_numpy()))
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
@@ -286,7 +290,7 @@ def scores(docs: DataFrame, train: DataFrame, order: int = 6, max_nodes: int = 1
     )
 
 
-def held_out_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, order: int = 6, max_nodes: int = 1 << 21, hot_words: int = 1 << 18) -> DataFrame:
+def held_out_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, order: int = 5, max_nodes: int = 1 << 20, hot_words: int = 1 << 18) -> DataFrame:
     """scores() of docs(doc_id, text) under a model of all other folds, with held_out."""
     fold = F.coalesce(crc_mod("doc_id", folds) == held_out, F.lit(False))
     out = scores(docs, docs.where(~fold), order, max_nodes, hot_words)
