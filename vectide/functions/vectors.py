@@ -148,7 +148,8 @@ def absolute(a: Vector) -> Column:
 
 def smoothstep(a, b, x) -> Column:
     """3 y**2 - 2 y**3 of y, the place of x between a and b held within [0, 1]."""
-    y = clamp(divide(subtract(x, a), subtract(b, a)), 0.0, 1.0)
+    width = b - a if isinstance(a, (int, float)) and isinstance(b, (int, float)) else subtract(b, a)
+    y = clamp(divide(subtract(x, a), width), 0.0, 1.0)
     return F.transform(y, lambda v: v * v * (3.0 - 2.0 * v))
 
 

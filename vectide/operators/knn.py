@@ -143,7 +143,7 @@ SMALL_BYTES = 16 << 20
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores: all-pairs work on a small file would run in the one task that scans it. Large inputs are left as they are."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(n) if size < n * SMALL_BYTES else df
 
 
