@@ -420,12 +420,13 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     kept = rows.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("class")).alias("c")).agg(F.min(order).alias("x"))
     kept = kept.select(F.col("x.doc_id").alias("kept_id"), F.col("x.text_key").alias("kept_key"))
     gone = rows.where("n_shingles > 0").join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    # the row as it came is one column, so its names can't clash with those in use here
+    keyed = docs.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    left = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left_anti")
     # repeated rows of a kept document: one stays
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
-    left = keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col("__key") == F.col("gone_key")), "left_anti")
     again = rows.where("n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1").select(F.col("doc_id").alias("again_id"), F.col("text_key").alias("again_key"))
     if again.isEmpty():
-        return left.select(docs.columns)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("again_id")) & (F.col("__key") == F.col("again_key"))
-    once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "__key"])
-    return left.join(again, same, "left_anti").unionAll(once).select(docs.columns)
+        return left.select("whole.*")
+    same = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("text_key") == F.col("again_key"))
+    once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return left.join(again, same, "left_anti").unionAll(once).select("whole.*")

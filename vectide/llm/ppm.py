@@ -48,7 +48,7 @@ U = np.uint64
 START, END, SYMBOLS = 0xFE, 0xFF, 255  # the bytes 00-FD and the end; a start is never predicted
 
 
-def streams(column: pa.Array, order: int, limit: int = t.SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def streams(column: pa.Array, order: int, limit: int = t.SLICE_BYTES // 2) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, n-grams, begins, lower-cased bytes and offsets) of slices of texts.
 
     n-grams: at every predicted place the last order + 1 bytes, the place's own lowest; each text has its bytes and an end.

@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,7 +74,7 @@ def wire(data: bytes) -> Iterator[tuple[int, object]]:
 class Codec:
     """Encodes and decodes with one SentencePiece BPE model."""
 
-    def __init__(self, path: str, cache_size: int = 500_000):
+    def __init__(self, path: str, cache_size: int = 300_000):
         with open(path, "rb") as f:
             message = list(wire(f.read()))
         trainer = dict(wire(next(v for k, v in message if k == 2)))
@@ -91,38 +92,76 @@ class Codec:
         byte_ids = {int(x[3:5], 16): i for i, x in enumerate(self.names) if kinds[i] == 6}
         self.unknown = kinds.index(2)
         self.byte_ids = byte_ids if trainer.get(35) and len(byte_ids) == 256 else None
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pair_limit = 200_000
+        uses = Counter(self.score.values())
+        self.tied = {x for x, v in self.score.items() if uses[v] > 1}
+        # the two parts of every piece; a piece that merging its characters doesn't give is never used
+        self.parts: dict[str, tuple[str, str]] = {}
+        for x in [x for x in self.id if len(x) > 1]:
+            found, last = self.merged(x)
+            if found == [x]:
+                self.parts[x] = last
+            else:
+                del self.id[x]
         self.longest = max(map(len, self.id))
         self.reach: dict[str, int] = {}
-        for x in self.id:
-            self.reach[x[:2]] = max(len(x), self.reach.get(x[:2], 1))
+        for x in self.id:  # the longest piece with these four first characters
+            if len(x) > 3:
+                self.reach[x[:4]] = max(len(x), self.reach.get(x[:4], 4))
         if any(SPACE in x.lstrip(SPACE) for x in self.id) or any("\n" in x for x in self.id if len(x) > 1):
             raise ValueError("pieces that run on into white space are not supported")
         self.bytes = [b"" if k in (2, 3) else bytes([int(x[3:5], 16)]) if k == 6 else x.replace(SPACE, " ").encode() for x, k in zip(self.names, kinds, strict=True)]
-        self.pairs: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.cache_size = cache_size
 
-    def merged(self, text: str) -> list[str]:
-        """The encoding of a short text by merging the best pair, leftmost first."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = max((score.get(a + b, MINUS), -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best == MINUS:
-                break
-            parts[-at : 2 - at] = ["".join(parts[-at : 2 - at])]
-        return parts
+    def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The encoding of a short text by merging the best pair, leftmost first, and the last pair merged."""
+        parts, last = list(text), None
+        scores = [self.score.get(a + b, MINUS) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores and (best := max(scores)) != MINUS:
+            i = scores.index(best)
+            last = (parts[i], parts[i + 1])
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = self.score.get(parts[i - 1] + parts[i], MINUS)
+            if i < len(scores):
+                scores[i] = self.score.get(parts[i] + parts[i + 1], MINUS)
+        return parts, last
 
     def follows(self, a: str, b: str) -> bool:
-        """Whether the arc from piece a to piece b is open."""
+        """Whether the arc from piece a to piece b is open: whether merging a + b leaves the border between them."""
         key = (a, b)
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) >= self.pair_limit:
                 self.pairs.clear()
-            found = self.pairs[key] = self.merged(a + b) == [a, b]
+            found = self.pairs[key] = self.merged(a + b)[0] == [a, b] if self.ties(a) or self.ties(b) else self.border_stays(a, b)
         return found
 
+    def ties(self, piece: str) -> bool:
+        """Whether a piece is one of those that share a score, whose order the ranks don't tell."""
+        return piece in self.tied
+
+    def border_stays(self, a: str, b: str) -> bool:
+        """Goes back through the merges of a and b, the later first, and asks of each pair at the border whether it would have been merged by then."""
+        score, parts = self.score, self.parts
+        bound, strict = MINUS, True  # a pair merges if its score is above the bound, or equal and not strict
+        while True:
+            s = score.get(a + b, MINUS)
+            if s > bound or s == bound != MINUS and not strict:
+                return False
+            left, right = parts.get(a), parts.get(b)
+            if left is None and right is None:
+                return True
+            # of equal scores the merge on the left comes first, so the right one is the later
+            if right is None or left is not None and score[a] < score[b]:
+                bound, strict, a = score[a], True, left[1]
+            else:
+                bound, strict, b = score[b], False, right[0]
+
     def last_pieces(self, text: str, begin: int, end: int, state: str | None, known: list | None = None) -> list[str | None]:
         """The last piece of the path to each place begin + 1 .. end that comes from ``state`` at ``begin``; None where there is none.
 
@@ -154,7 +193,7 @@ class Codec:
         n, ids, reach, follows = len(text), self.id, self.reach, self.follows
         out: list[str] = []
         closed: set[int] = set()
-        at, size = 0, min(n, reach.get(text[:2], 1))
+        at, size = 0, min(n, reach.get(text[:4], 3))
         while at < n:
             while size:
                 piece = text[at : at + size]
@@ -164,7 +203,7 @@ class Codec:
             if size:
                 out.append(piece)
                 at += size
-                size = min(n - at, reach.get(text[at : at + 2], 1))
+                size = min(n - at, reach.get(text[at : at + 4], 3))
             else:
                 closed.add(at)
                 size = len(out.pop()) - 1

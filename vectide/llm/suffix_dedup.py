@@ -242,7 +242,8 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     no word is left becomes empty. Rows are neither dropped nor reordered into one another.
     """
     schema_in = docs.schema
-    d = keyed(docs)
+    # the row as it came is one column, so its names can't clash with those in use here
+    d = docs.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     runs = Scratch(docs.sparkSession).save(repeated_runs(d.select("doc_id", "key", "text"), length).where("removable"))
     spans = merged(runs, length).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("spans"))
     cut = pa.schema([("cut_key", pa.int64()), ("cut_text", pa.string())])
@@ -263,10 +264,13 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             yield batch(cut, rb.column(0), texts)
 
     changed = d.select("key", "text").dropDuplicates(["key"]).join(spans, "key").mapInArrow(run, "cut_key long, cut_text string")
-    joined = d.join(changed, d["key"] == changed["cut_key"], "left")
-    text = F.coalesce("cut_text", "text")
+    joined = d.join(changed, F.col("key") == F.col("cut_key"), "left")
     columns = []
     for f in schema_in.fields:
-        value = text if f.name == "text" else F.when(F.col("cut_text").isNotNull(), F.length("cut_text")).otherwise(F.col("n_chars")) if f.name == "n_chars" else F.col(f"`{f.name}`")
+        value = F.col("whole")[f.name]
+        if f.name == "text":
+            value = F.coalesce("cut_text", value)
+        elif f.name == "n_chars":
+            value = F.when(F.col("cut_text").isNotNull(), F.length("cut_text")).otherwise(value)
         columns.append(value.cast(f.dataType).alias(f.name))
     return joined.select(*columns)
