@@ -43,6 +43,7 @@ from vectide.llm._spark import Scratch, batch
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 MINUS = -np.inf
+SHORT = (3, 2, 1)
 
 
 def wire(data: bytes) -> Iterator[tuple[int, object]]:
@@ -71,6 +72,17 @@ def wire(data: bytes) -> Iterator[tuple[int, object]]:
             i += n
 
 
+class PackedIds(dict):
+    """The id of a piece as four bytes; the bytes of an unknown character as the ids of byte pieces."""
+
+    def __init__(self, ids: dict[str, int], byte_ids: dict[int, int] | None, unknown: int):
+        super().__init__((x, struct.pack("<i", i)) for x, i in ids.items())
+        self.byte_ids, self.unknown = byte_ids, unknown
+
+    def __missing__(self, piece: str) -> bytes:
+        return struct.pack(f"<{len(piece.encode())}i", *map(self.byte_ids.__getitem__, piece.encode())) if self.byte_ids else struct.pack("<i", self.unknown)
+
+
 class Codec:
     """Encodes and decodes with one SentencePiece BPE model."""
 
@@ -90,8 +102,6 @@ class Codec:
         self.id = {x: i for i, x in enumerate(self.names) if kinds[i] == 1}
         self.score = {x: score[i] for x, i in self.id.items()}
         byte_ids = {int(x[3:5], 16): i for i, x in enumerate(self.names) if kinds[i] == 6}
-        self.unknown = kinds.index(2)
-        self.byte_ids = byte_ids if trainer.get(35) and len(byte_ids) == 256 else None
         self.pairs: dict[tuple[str, str], bool] = {}
         self.pair_limit = 200_000
         uses = Counter(self.score.values())
@@ -105,13 +115,16 @@ class Codec:
             else:
                 del self.id[x]
         self.longest = max(map(len, self.id))
-        self.reach: dict[str, int] = {}
-        for x in self.id:  # the longest piece with these four first characters
+        # the lengths that pieces with these four first characters can have, the longest first
+        sizes: dict[str, set[int]] = {}
+        for x in self.id:
             if len(x) > 3:
-                self.reach[x[:4]] = max(len(x), self.reach.get(x[:4], 4))
+                sizes.setdefault(x[:4], {1, 2, 3}).add(len(x))
+        self.sizes = {x: tuple(sorted(n, reverse=True)) for x, n in sizes.items()}
         if any(SPACE in x.lstrip(SPACE) for x in self.id) or any("\n" in x for x in self.id if len(x) > 1):
             raise ValueError("pieces that run on into white space are not supported")
         self.bytes = [b"" if k in (2, 3) else bytes([int(x[3:5], 16)]) if k == 6 else x.replace(SPACE, " ").encode() for x, k in zip(self.names, kinds, strict=True)]
+        self.words = PackedIds(self.id, byte_ids if trainer.get(35) and len(byte_ids) == 256 else None, kinds.index(2))
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.cache_size = cache_size
@@ -190,37 +203,35 @@ class Codec:
 
         A place has one possible last piece, so a place that leads nowhere is closed for good.
         """
-        n, ids, reach, follows = len(text), self.id, self.reach, self.follows
+        n, ids, sizes_at, known, follows = len(text), self.id, self.sizes.get, self.pairs.get, self.follows
         out: list[str] = []
         closed: set[int] = set()
-        at, size = 0, min(n, reach.get(text[:4], 3))
+        at, below, before = 0, n + 1, None
         while at < n:
-            while size:
-                piece = text[at : at + size]
-                if (size == 1 or piece in ids) and at + size not in closed and (not out or follows(out[-1], piece)):
-                    break
-                size -= 1
-            if size:
+            for size in sizes_at(text[at : at + 4], SHORT):
+                end = at + size
+                if size >= below or end > n or end in closed:
+                    continue
+                piece = text[at:end]
+                if size > 1 and piece not in ids:
+                    continue
+                if before is not None:
+                    is_open = known((before, piece))
+                    if not (follows(before, piece) if is_open is None else is_open):
+                        continue
                 out.append(piece)
-                at += size
-                size = min(n - at, reach.get(text[at : at + 4], 3))
+                at, below, before = end, n + 1, piece
+                break
             else:
                 closed.add(at)
-                size = len(out.pop()) - 1
-                at -= size + 1
+                below = len(out.pop())
+                at -= below
+                before = out[-1] if out else None
         return out
 
-    def ids_of(self, pieces: list[str]) -> list[int]:
-        out: list[int] = []
-        for p in pieces:
-            i = self.id.get(p)
-            if i is not None:
-                out.append(i)
-            elif self.byte_ids:
-                out += map(self.byte_ids.__getitem__, p.encode())
-            else:
-                out.append(self.unknown)
-        return out
+    def packed(self, pieces: list[str]) -> bytes:
+        """The ids of pieces as 32-bit integers."""
+        return b"".join(map(self.words.__getitem__, pieces))
 
     def escaped(self, text: str) -> str:
         return self.prefix + text.replace(" ", SPACE) if text else ""
@@ -240,7 +251,7 @@ class Codec:
                 if x is None:
                     x = self.older.get(u)
                     if x is None:
-                        x = np.array(self.ids_of(self.pieces(u)), np.int32).tobytes()
+                        x = self.packed(self.pieces(u))
                     if len(u) <= 64:
                         if len(cache) >= self.cache_size // 2:  # what is used again comes back from the older half
                             self.older, self.cache = cache, {}
@@ -307,8 +318,7 @@ class Codec:
         while i > begin:
             out.append(last[i - begin])
             i -= len(last[i - begin])
-        head = np.array(self.ids_of(out[::-1]), np.int32).tobytes()
-        return head + self.encode_escaped(text[stop:end])
+        return self.packed(out[::-1]) + self.encode_escaped(text[stop:end])
 
 
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
