@@ -4,34 +4,29 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="vectide-")
-        sc.setCheckpointDir(folder)
-        folder = sc.getCheckpointDir()
-    return folder.rstrip("/")
+from vectide.runtime import remove, shared_folder
 
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """From now on the session hands Arrow batches of at most about ``size`` bytes to Python: by the default of 64 MB, long texts add up in the buffers of both sides."""
+    spark.conf.set(BATCH_BYTES, str(size))
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
-    """Within it, jobs hand Arrow batches of at most about ``size`` bytes to Python, so long rows don't add up in memory."""
+    """bounded_batches() for the jobs within it."""
     before = spark.conf.get(BATCH_BYTES)
-    spark.conf.set(BATCH_BYTES, str(size))
+    bounded_batches(spark, size)
     try:
         yield
     finally:
@@ -57,14 +52,8 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         with contextlib.suppress(Exception):
-            jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
             for path in [t._scratch_path for t in tables] or [self.root]:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
-
-
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+                remove(self.spark, path)
 
 
 def batch(schema: pa.Schema, *columns: object) -> pa.RecordBatch:
