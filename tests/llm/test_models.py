@@ -405,12 +405,11 @@ def test_encoding_query(docs, clashing, empty, documents, model):
     assert as_rows(got, "doc_id", "n_tokens", "ids_crc", "round_trip") == want
     assert all(len(r["token_ids"]) == 4 * r["n_tokens"] for r in got.collect())
     assert codec.encoding_digests(empty, path).count() == 0
+    back = codec.decoded(codec.encoded(docs, path, giant=500, chunk=64), path)
+    assert as_rows(back, "doc_id", "text") == Counter((i, (x or "").replace("▁", " ")) for i, x, *_ in documents)
 
 
 def test_other_models_are_refused(tmp_path):
     (tmp_path / "m.model").write_bytes(bytes([0x12, 2, 0x18, 1, 0x1A, 2, 0x18, 1]))
     with pytest.raises(ValueError):
         codec.Codec(str(tmp_path / "m.model"))
-
-
-assert LANGS
