@@ -7,7 +7,9 @@ import contextlib
 import tempfile
 import time
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session: their Python workers needn't have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_vectide_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="vectide-")) / "vectide.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f"vectide/{f.relative_to(package)}")
+    sc.addPyFile(str(target))
+    sc._vectide_shipped = True
+
+
 def resources(spark: SparkSession) -> dict[str, int | str]:
     """What the session has to work with."""
     sc = spark.sparkContext
