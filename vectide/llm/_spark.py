@@ -4,19 +4,27 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.runtime import remove, shared_folder
-
+from vectide.runtime import remove, shared_folder, ship
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with this package on its executors and Arrow batches bounded by bytes."""
+    ship(spark)
+    bounded_batches(spark)
+    return spark
+
+
 def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """From now on the session hands Arrow batches of at most about ``size`` bytes to Python: by the default of 64 MB, long texts add up in the buffers of both sides."""
     spark.conf.set(BATCH_BYTES, str(size))
@@ -56,6 +64,21 @@ class Scratch:
                 remove(self.spark, path)
 
 
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow, giving what a task has freed back to the system at its end: workers outlive tasks and stages, and an idle one would keep its peak."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def batch(schema: pa.Schema, *columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 

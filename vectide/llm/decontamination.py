@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm import _text as t
-from vectide.llm._spark import batch
+from vectide.llm._spark import batch, lean
 
 U = np.uint64
 GRAM, FILTER_BITS = U(0x9E3779B97F4A7C15), 22
@@ -204,7 +204,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, q: int = 9, rate: float
                 if found:
                     yield batch(schema, *zip(*found, strict=True))
 
-        part = docs.mapInArrow(search, ddl)
+        part = docs.mapInArrow(lean(search), ddl)
         out = part if out is None else out.unionAll(part)
     return docs.sparkSession.createDataFrame([], ddl) if out is None else out
 
@@ -223,5 +223,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 9, rate: float
                         keep[first + x] = False
                 yield rb.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(lean(clean), docs.schema)
     return docs

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm import _text as t
-from vectide.llm._spark import batch, crc_mod
+from vectide.llm._spark import batch, crc_mod, lean
 
 U = np.uint64
 STEP = 64
@@ -203,7 +203,7 @@ def learn(rows: DataFrame, max_languages: int) -> Model | None:
         at = np.flatnonzero(both)
         yield batch(schema, (at // width).astype(np.int32), (at % width).astype(np.int32), both[at])
 
-    counts = rows.select("text", "lang").mapInArrow(count, "slot int, language int, n long").groupBy("slot", "language").agg(F.sum("n").alias("n")).toPandas()  # 2**23 rows at most
+    counts = rows.select("text", "lang").mapInArrow(lean(count), "slot int, language int, n long").groupBy("slot", "language").agg(F.sum("n").alias("n")).toPandas()  # 2**23 rows at most
     table = np.zeros(((1 << bits) + N_SCRIPTS, width))
     table[counts["slot"].to_numpy(np.int64), counts["language"].to_numpy(np.int64)] = counts["n"].to_numpy(np.float64)
     grams, scripts = table[: 1 << bits], table[1 << bits :]
@@ -258,7 +258,7 @@ def labelled_spans(docs: DataFrame, model: Model | None, penalty: float) -> Data
                 yield batch(schema, rb.column(0), pa.array(names[best], pa.string()), score, n_spans, lists)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, lang_pred string, score double, n_spans long, spans array<struct<start_word: long, end_word: long, lang: string>>")
+    return docs.mapInArrow(lean(run), "doc_id long, lang_pred string, score double, n_spans long, spans array<struct<start_word: long, end_word: long, lang: string>>")
 
 
 def language_ids(docs: DataFrame, folds: int = 4, held_out: int = 2, penalty: float = 10.0, max_languages: int = 256) -> DataFrame:
@@ -286,4 +286,4 @@ def of_known_language(docs: DataFrame, min_score: float = 0.5, penalty: float =
                 keep[lo:hi] = (best >= 0) & (score >= min_score)
             yield rb.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm import _text as t
-from vectide.llm._spark import Scratch, batch, connected_components
+from vectide.llm._spark import Scratch, batch, connected_components, lean
 
 BUCKETS = 1 << 18
 BLOCK = 4096
@@ -135,7 +135,7 @@ def survey(docs: DataFrame, n: int) -> DataFrame:
         none = pa.nulls(len(at), pa.int64())
         yield batch(schema, none, none, none, none, at.astype(np.int32), df[at])
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, class long, bucket int, df long")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(lean(run), "doc_id long, text_key long, n_shingles long, class long, bucket int, df long")
 
 
 def ordered(docs: DataFrame, n: int, num: int, den: int, hot) -> DataFrame:
@@ -172,7 +172,7 @@ def ordered(docs: DataFrame, n: int, num: int, den: int, hot) -> DataFrame:
                 c, m, f, s0, s1 = zip(*infos, strict=True)
                 yield batch(schema, pa.nulls(len(c), pa.int64()), c, pa.nulls(len(c), pa.int32()), m, f, s0, s1)
 
-    return docs.select("text").mapInArrow(run, "token long, class long, place int, size int, first int, s0 long, s1 long")
+    return docs.select("text").mapInArrow(lean(run), "token long, class long, place int, size int, first int, s0 long, s1 long")
 
 
 #: Frequencies are counted up to here; a stream of one n-gram holds no more rows.
@@ -217,7 +217,7 @@ def shared_tokens(tokens: DataFrame) -> DataFrame:
                 token, owner = token[:0], owner[:0]
         yield from emit(token, owner)
 
-    return tokens.repartition("token").sortWithinPartitions("token", "class").mapInArrow(run, "class long, token long, df int")
+    return tokens.repartition("token").sortWithinPartitions("token", "class").mapInArrow(lean(run), "class long, token long, df int")
 
 
 def prefix_postings(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -272,7 +272,7 @@ def candidates(postings: DataFrame, num: int, den: int) -> DataFrame:
             tail = np.flatnonzero((token == token[-1]) & (size.astype(np.int64) * den >= int(size[-1]) * num))
             held = [c[tail] for c in cols]
 
-    return postings.repartition("token").sortWithinPartitions("token", "size", "class").mapInArrow(run, "a long, b long").distinct()
+    return postings.repartition("token").sortWithinPartitions("token", "size", "class").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def class_sets(docs: DataFrame, n: int, wanted) -> DataFrame:
@@ -292,7 +292,7 @@ def class_sets(docs: DataFrame, n: int, wanted) -> DataFrame:
             if out:
                 yield batch(schema, *zip(*out, strict=True))
 
-    return docs.select("text").mapInArrow(run, "class long, size int, members binary")
+    return docs.select("text").mapInArrow(lean(run), "class long, size int, members binary")
 
 
 #: Bits of the filter over candidate classes: 1 MB, whatever the input.
@@ -367,7 +367,7 @@ def verified(groups: DataFrame, num: int, den: int) -> DataFrame:
             yield batch(schema, *zip(*out, strict=True))
 
     columns = groups.select("group", "part", "class", "size", "members")
-    return columns.repartition("group", "part").sortWithinPartitions("group", "part", "size", "class").mapInArrow(run, "a long, b long")
+    return columns.repartition("group", "part").sortWithinPartitions("group", "part", "size", "class").mapInArrow(lean(run), "a long, b long")
 
 
 def in_blocks(members: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm import _text as t
-from vectide.llm._spark import Scratch, batch, crc_mod
+from vectide.llm._spark import Scratch, batch, crc_mod, lean
 
 U = np.uint64
 START, END, SYMBOLS = 0xFE, 0xFF, 255  # the bytes 00-FD and the end; a start is never predicted
@@ -103,7 +103,7 @@ def corpus_counts(docs: DataFrame, order: int) -> DataFrame:
                 yield from send(kind, *merged(parts))
         yield batch(schema, np.array([2], np.int8), [0], [texts])
 
-    return docs.select("text").mapInArrow(run, "kind byte, key long, n long")
+    return docs.select("text").mapInArrow(lean(run), "kind byte, key long, n long")
 
 
 class Trie:
@@ -274,7 +274,7 @@ def scores(docs: DataFrame, train: DataFrame, order: int = 5, max_nodes: int = 1
                 yield batch(schema, *p)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = scratch.save(docs.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<long>, times array<long>"))
+    found = scratch.save(docs.mapInArrow(lean(run), "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<long>, times array<long>"))
     rare = found.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     n = F.coalesce("n", F.lit(0))
     rare = rare.join(words, "key", "left").groupBy("row").agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10(n + 0.5)).alias("more_base"))

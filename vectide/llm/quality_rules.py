@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm import _text as t
-from vectide.llm._spark import batch
+from vectide.llm._spark import batch, lean
 
 BITS = 18
 U = np.uint64
@@ -217,7 +217,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sa
             if parts:
                 yield batch(schema, rb.column(0), *(np.concatenate(x) for x in zip(*parts, strict=True)))
 
-    out = docs.mapInArrow(score, "doc_id long, " + ", ".join(f"{x} long" for x in names) + ", probability double")
+    out = docs.mapInArrow(lean(score), "doc_id long, " + ", ".join(f"{x} long" for x in names) + ", probability double")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= threshold)).select("doc_id", *names, "base_failed", "kept", "probability")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm import _text as t
-from vectide.llm._spark import batch, crc_mod
+from vectide.llm._spark import batch, crc_mod, lean
 from vectide.llm.quality_rules import SYMBOL, repeats, sigmoid
 
 #: What a rule can ask about, in the order of statistics().
@@ -106,7 +106,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
                 yield batch(schema, rb.column(0), *np.ascontiguousarray(np.concatenate(parts).T))
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{x} double" for x in STATISTICS))
+    return docs.mapInArrow(lean(run), "doc_id long, " + ", ".join(f"{x} double" for x in STATISTICS))
 
 
 Condition = tuple[int, bool, float]  # statistic, greater, cut

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectide.llm import _text as t
-from vectide.llm._spark import Scratch, batch
+from vectide.llm._spark import Scratch, batch, lean
 
 U = np.uint64
 
@@ -99,7 +99,7 @@ def kept_suffixes(docs: DataFrame, length: int, k: int) -> DataFrame:
                 s = Stretches(b, offsets, length, k)
                 yield batch(schema, keys[lo:hi][s.doc], t.signed(s.gram), (s.first - s.doc_first[s.doc]).astype(np.int32))
 
-    return docs.select("key", "text").mapInArrow(run, "key long, gram long, first int")
+    return docs.select("key", "text").mapInArrow(lean(run), "key long, gram long, first int")
 
 
 def extended(docs: DataFrame, length: int, k: int, hot: int) -> DataFrame:
@@ -145,11 +145,11 @@ def extended(docs: DataFrame, length: int, k: int, hot: int) -> DataFrame:
                         for sort_key, blob, start in parts:
                             found.setdefault((sort_key, blob), []).append((ids[lo + d], keys[lo + d], start))
                             held += 1
-                if held > 150_000:
+                if held > 60_000:
                     yield from flush()
         yield from flush()
 
-    return docs.select("doc_id", "key", "text", "stretches").mapInArrow(run, "sort_key long, doc_id long, key long, start int, count int, hashes binary, copies int")
+    return docs.select("doc_id", "key", "text", "stretches").mapInArrow(lean(run), "sort_key long, doc_id long, key long, start int, count int, hashes binary, copies int")
 
 
 def compared(rows: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def compared(rows: DataFrame) -> DataFrame:
             yield batch(schema, *zip(*out, strict=True))
 
     columns = rows.select("sort_key", "doc_id", "key", "start", "count", "hashes", "copies")
-    return columns.repartition("sort_key").sortWithinPartitions("sort_key", "doc_id", "key", "start").mapInArrow(run, "doc_id long, key long, start int, end int, removable boolean")
+    return columns.repartition("sort_key").sortWithinPartitions("sort_key", "doc_id", "key", "start").mapInArrow(lean(run), "doc_id long, key long, start int, end int, removable boolean")
 
 
 def merged(runs: DataFrame, length: int) -> DataFrame:
@@ -263,7 +263,7 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                 texts.append(kept.lstrip(b"\t\n\v\f\r ").decode() if spans[0]["start_word"] == 0 else kept.decode())
             yield batch(cut, rb.column(0), texts)
 
-    changed = d.select("key", "text").dropDuplicates(["key"]).join(spans, "key").mapInArrow(run, "cut_key long, cut_text string")
+    changed = d.select("key", "text").dropDuplicates(["key"]).join(spans, "key").mapInArrow(lean(run), "cut_key long, cut_text string")
     joined = d.join(changed, F.col("key") == F.col("cut_key"), "left")
     columns = []
     for f in schema_in.fields:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm._spark import batch
+from vectide.llm._spark import batch, lean
 
 # Fixed value: the pre-token pattern of byte-level BPE vocabularies of this kind.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -122,7 +122,7 @@ def frequent_words(docs: DataFrame, table_size: int, per_task: int = 8192, held:
         top = seen.most_common(per_task)
         yield batch(schema, [w for w, _ in top], [n for _, n in top])
 
-    found = docs.select("text").mapInArrow(summary, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(table_size)
+    found = docs.select("text").mapInArrow(lean(summary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(table_size)
     return [r[0] for r in found.select("word").collect()]  # table_size rows at most
 
 
@@ -155,7 +155,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, table_size: int
 
     import pyarrow.compute  # noqa: F401
 
-    out = docs.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
+    out = docs.mapInArrow(lean(count), "doc_id long, n_bytes long, n_tokens long")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
