@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 import struct
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm._spark import Scratch, batch
+from vectide.llm._spark import Scratch, batch, lean
 
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -86,7 +87,7 @@ class PackedIds(dict):
 class Codec:
     """Encodes and decodes with one SentencePiece BPE model."""
 
-    def __init__(self, path: str, cache_size: int = 300_000):
+    def __init__(self, path: str, cache_size: int = 200_000):
         with open(path, "rb") as f:
             message = list(wire(f.read()))
         trainer = dict(wire(next(v for k, v in message if k == 2)))
@@ -265,6 +266,10 @@ class Codec:
         text = data.decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
+    def spells(self, ids: bytes, text: str) -> bool:
+        """Whether the ids decode to this text, in which spaces are U+2581, prefix included."""
+        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, np.int32).tolist())) == text.replace(SPACE, " ").encode()
+
     # --- giant texts -------------------------------------------------------
 
     def states(self, text: str, cut: int) -> list[tuple[str | None, int]]:
@@ -348,32 +353,32 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-CHUNK = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("chunk", pa.int64()), ("text", pa.string()), ("begin", pa.int64()), ("end", pa.int64())])
-CHUNK_DDL = "row long, doc_id long, text_hash long, chunk long, text string, begin long, end long"
+CHUNK = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("chunk", pa.int64()), ("text", pa.string()), ("begin", pa.int64()), ("end", pa.int64())])
+CHUNK_DDL = "row long, doc_id long, chunk long, text string, begin long, end long"
 
 
 def chunked(docs: DataFrame, path: str, chunk: int) -> DataFrame:
-    """Chunks of docs(doc_id, text_hash, text) with as much text around them as a piece can reach; [begin, end) is the chunk in ``text``."""
+    """Chunks of docs(doc_id, text) with as much text around them as a piece can reach; [begin, end) is the chunk in ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, row = codec(path), TaskContext.get().partitionId() << 32
         for rb in batches:
-            for doc_id, text_hash, value in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), rb.column(2), strict=True):
+            for doc_id, value in zip(rb.column(0).to_pylist(), rb.column(1), strict=True):
                 text, row = c.escaped(value.as_py()), row + 1
                 n = -(-len(text) // chunk)
                 for k in range(n):
                     left, right = max(0, k * chunk - c.longest), min(len(text), (k + 1) * chunk + c.longest)
-                    yield batch(CHUNK, [row], [doc_id], [text_hash], [k], [text[left:right]], [k * chunk - left], [min(len(text), (k + 1) * chunk) - left])
+                    yield batch(CHUNK, [row], [doc_id], [k], [text[left:right]], [k * chunk - left], [min(len(text), (k + 1) * chunk) - left])
 
-    return docs.mapInArrow(run, CHUNK_DDL)
+    return docs.mapInArrow(lean(run), CHUNK_DDL)
 
 
 def giant_ids(docs: DataFrame, path: str, chunk: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, text_hash, ids) of docs(doc_id, text_hash, text), none of them empty, by chunks that any task may take."""
+    """(doc_id, exact, ids) of docs(doc_id, text), none of them empty, by chunks that any task may take."""
     parts = scratch.save(chunked(docs, path, chunk).repartition("row", "chunk"))
     matrix = pa.schema([("row", pa.int64()), ("chunk", pa.int64()), ("states", pa.int64()), ("weights", pa.binary()), ("ends", pa.list_(pa.int64()))])
     between = pa.schema([("row", pa.int64()), ("chunk", pa.int64()), ("enter", pa.int64()), ("leave", pa.int64())])
-    ids = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("chunk", pa.int64()), ("ids", pa.binary())])
+    ids = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("exact", pa.bool_()), ("chunk", pa.int64()), ("ids", pa.binary())])
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -398,58 +403,67 @@ def giant_ids(docs: DataFrame, path: str, chunk: int, scratch: Scratch) -> DataF
         for rb in batches:
             for r in rb.to_pylist():
                 enter, leave = c.states(r["text"], r["begin"])[r["enter"]], c.states(r["text"], r["end"])[r["leave"]]
-                yield batch(ids, [r["row"]], [r["doc_id"]], [r["text_hash"]], [r["chunk"]], [c.traced(r["text"], enter, leave)])
+                found = c.traced(r["text"], enter, leave)
+                yield batch(ids, [r["row"]], [r["doc_id"]], [c.spells(found, r["text"][enter[1] : leave[1]])], [r["chunk"]], [found])
 
-    cuts = parts.mapInArrow(transfers, "row long, chunk long, states long, weights binary, ends array<long>")
+    cuts = parts.mapInArrow(lean(transfers), "row long, chunk long, states long, weights binary, ends array<long>")
     cuts = cuts.groupBy("row").applyInArrow(combine, "row long, chunk long, enter long, leave long")
-    traced = parts.join(cuts, ["row", "chunk"]).select("row", "doc_id", "text_hash", "chunk", "text", "begin", "end", "enter", "leave")
-    traced = traced.mapInArrow(trace, "row long, doc_id long, text_hash long, chunk long, ids binary")
+    traced = parts.join(cuts, ["row", "chunk"]).select("row", "doc_id", "chunk", "text", "begin", "end", "enter", "leave")
+    traced = traced.mapInArrow(lean(trace), "row long, doc_id long, exact boolean, chunk long, ids binary")
     joined = F.expr("aggregate(transform(array_sort(collect_list(struct(chunk, ids))), x -> x.ids), cast('' as binary), (a, x) -> concat(a, x))")
-    return traced.groupBy("row", "doc_id", "text_hash").agg(joined.alias("ids")).select("doc_id", "text_hash", "ids")
+    return traced.groupBy("row", "doc_id").agg(joined.alias("ids"), F.bool_and("exact").alias("exact")).select("doc_id", "exact", "ids")
 
 
-def encoded(docs: DataFrame, path: str, giant: int = 1 << 16, chunk: int = 1 << 13) -> DataFrame:
-    """(doc_id, text_hash, ids) of docs(doc_id, text): ids as 32-bit little-endian integers in one binary value.
+DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc", pa.int64()), ("round_trip", pa.bool_())])
 
-    text_hash names the text as decoding gives it back (U+2581 as a space). Texts of more than
-    ``giant`` characters take the way by chunks.
-    """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.replace(text, F.lit(SPACE), F.lit(" "))).alias("text_hash"), text.alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("ids", pa.binary())])
+
+def _encoded(docs: DataFrame, path: str, giant: int, chunk: int, with_ids: bool) -> DataFrame:
+    """(doc_id, n_tokens, ids_crc, round_trip) and, with_ids, token_ids. Encoding and decoding share one Python worker, so a text travels once."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    schema = DIGEST.append(pa.field("token_ids", pa.binary())) if with_ids else DIGEST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for rb in batches:
             for at in range(0, rb.num_rows, 256):
                 part = rb.slice(at, 256)
-                yield batch(schema, part.column(0), part.column(1), [c.encode(x.as_py()) for x in part.column(2)])
+                texts = part.column(1).to_pylist()
+                ids = [c.encode(x) for x in texts]
+                good = [c.spells(i, c.escaped(x)) for i, x in zip(ids, texts, strict=True)]
+                yield batch(schema, part.column(0), [len(i) // 4 for i in ids], [zlib.crc32(i) for i in ids], good, *([ids] if with_ids else []))
+
+    more = [F.col("ids").alias("token_ids")] if with_ids else []
+    ddl = "doc_id long, n_tokens long, ids_crc long, round_trip boolean" + ", token_ids binary" * with_ids
+    small = docs.where(F.length("text") <= giant).mapInArrow(lean(run), ddl)
+    large = giant_ids(docs.where(F.length("text") > giant), path, chunk, Scratch(docs.sparkSession))
+    return small.unionAll(large.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc"), F.col("exact").alias("round_trip"), *more))
 
-    small = docs.where(F.length("text") <= giant).mapInArrow(run, "doc_id long, text_hash long, ids binary")
-    return small.unionAll(giant_ids(docs.where(F.length("text") > giant), path, chunk, Scratch(docs.sparkSession)))
+
+def encoded(docs: DataFrame, path: str, giant: int = 1 << 16, chunk: int = 1 << 13) -> DataFrame:
+    """(doc_id, token_ids) of docs(doc_id, text): ids as 32-bit little-endian integers in one binary value.
+
+    Texts of more than ``giant`` characters take the way by chunks.
+    """
+    return _encoded(docs, path, giant, chunk, True).select("doc_id", "token_ids")
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
-    """rows(..., ids) with the decoded text instead of the ids."""
-    others = [c for c in rows.columns if c != "ids"]
-    schema = rows.select(*others, F.lit("").alias("text")).schema
+    """(doc_id, text) of rows(doc_id, token_ids); null ids give a null text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for rb in batches:
             for at in range(0, rb.num_rows, 256):
                 part = rb.slice(at, 256)
-                texts = pa.array([c.decode(np.frombuffer(x.as_py(), np.int32)) for x in part.column(len(others))], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], texts], names=[*others, "text"])
+                yield batch(schema, part.column(0), [None if x is None else c.decode(np.frombuffer(x, np.int32)) for x in part.column(1).to_pylist()])
 
-    return rows.select(*others, "ids").mapInArrow(run, schema)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "token_ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def encoding_digests(docs: DataFrame, path: str, giant: int = 1 << 16, chunk: int = 1 << 13, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc, round_trip) of every row: the number of ids, the CRC-32 of the ids, whether they decode to the text.
+    """(doc_id, n_tokens, ids_crc, round_trip) of every row: the number of ids, the CRC-32 of the ids, whether they decode to the text (U+2581 as a space).
 
-    keep_ids: with the ids themselves, as 32-bit little-endian integers in token_ids.
+    keep_ids: with the ids themselves, as in encoded(), in token_ids.
     """
-    more = [F.col("ids").alias("token_ids")] if keep_ids else []
-    rows = encoded(docs, path, giant, chunk).select("doc_id", "text_hash", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc"), *more, "ids")
-    return decoded(rows, path).select("doc_id", "n_tokens", "ids_crc", (F.xxhash64("text") == F.col("text_hash")).alias("round_trip"), *(["token_ids"] if keep_ids else []))
+    return _encoded(docs, path, giant, chunk, keep_ids)
