@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectide.llm._spark import Scratch, bounded_batches
+from vectide.llm._spark import Scratch, prepared
 from vectide.llm.decontamination import without_leaks
 from vectide.llm.language_id import of_known_language
 from vectide.llm.ngram_join import one_of_each
@@ -23,31 +23,31 @@ from vectide.llm.suffix_dedup import without_repeats
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters or without a language for half of them go."""
-    bounded_batches(spark)
+    prepared(spark)
     return of_known_language(docs, min_score=0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of each group linked by a similarity of 0.8 of their five-word shingles."""
-    bounded_batches(spark)
+    prepared(spark)
     return one_of_each(docs, n=5, num=80, den=100)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more stay in one place only."""
-    bounded_batches(spark)
+    prepared(spark)
     return without_repeats(docs, length=50)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    bounded_batches(spark)
+    prepared(spark)
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text, checked by decoding them."""
-    bounded_batches(spark)
+    prepared(spark)
     import public_tokenizers
 
     return encoding_digests(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=True)
