@@ -8,9 +8,9 @@ to piece b weighs 0 if (a, b) is such a pair and minus infinity otherwise, and
 the one path of finite weight is the encoding. Results equal the library's, id
 by id; tests hold them against it.
 
-* Ordinary texts: a piece never runs on into white space, so a text falls into
-  units (a run of spaces and what follows it), each encoded once per worker and
-  kept in a bounded cache.
+* Ordinary texts: a piece never runs on into white space, nor from a letter into
+  most punctuation (this is read off the model), so a text falls into units at
+  such borders, each encoded once per worker and kept in a bounded cache.
 * Giant texts are cut into chunks of ``chunk`` characters at arbitrary places and
   dealt to all tasks. The state at a cut is the piece over its last character;
   every piece that matches there is a candidate. A chunk yields the matrix of
@@ -28,6 +28,7 @@ are refused.
 from __future__ import annotations
 
 import re
+import string
 import struct
 import zlib
 from collections import Counter
@@ -42,7 +43,8 @@ from pyspark.sql import functions as F
 from vectide.llm._spark import Scratch, batch, lean
 
 SPACE = "▁"
-UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+#: A letter, as a regular expression.
+LETTER = r"[^\W\d_]"
 MINUS = -np.inf
 SHORT = (3, 2, 1)
 
@@ -103,8 +105,9 @@ class Codec:
         self.id = {x: i for i, x in enumerate(self.names) if kinds[i] == 1}
         self.score = {x: score[i] for x, i in self.id.items()}
         byte_ids = {int(x[3:5], 16): i for i, x in enumerate(self.names) if kinds[i] == 6}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.pair_limit = 200_000
+        # whether arcs are open, by their first and second piece
+        self.arcs: dict[str, dict[str, bool]] = {}
+        self.n_arcs, self.most_arcs = 0, 300_000
         uses = Counter(self.score.values())
         self.tied = {x for x, v in self.score.items() if uses[v] > 1}
         # the two parts of every piece; a piece that merging its characters doesn't give is never used
@@ -116,6 +119,15 @@ class Codec:
             else:
                 del self.id[x]
         self.longest = max(map(len, self.id))
+        # marks that no piece has after a letter: every path has a piece that ends before such a mark
+        before: dict[str, set[str]] = {}
+        for x in self.id:
+            for a, b in zip(x, x[1:], strict=False):
+                before.setdefault(b, set()).add(a)
+        marks = "".join(re.escape(m) for m in string.punctuation if not any(re.match(LETTER, a) for a in before.get(m, ())))
+        stop = f"[{SPACE}\n{marks}]"
+        common = "[a-zA-ZÀ-ÖØ-öø-ÿ]"  # letters that are tried first, for speed
+        self.units = re.compile(f"{SPACE}?{common}++(?={stop}|\\Z)|{SPACE}*+(?:{LETTER}++(?={stop}|\\Z)|[^{SPACE}\n]++)|{SPACE}++|\n")
         # the lengths that pieces with these four first characters can have, the longest first
         sizes: dict[str, set[int]] = {}
         for x in self.id:
@@ -147,12 +159,15 @@ class Codec:
 
     def follows(self, a: str, b: str) -> bool:
         """Whether the arc from piece a to piece b is open: whether merging a + b leaves the border between them."""
-        key = (a, b)
-        found = self.pairs.get(key)
+        arcs = self.arcs.setdefault(a, {})
+        found = arcs.get(b)
         if found is None:
-            if len(self.pairs) >= self.pair_limit:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merged(a + b)[0] == [a, b] if self.ties(a) or self.ties(b) else self.border_stays(a, b)
+            if self.n_arcs >= self.most_arcs:
+                for x in self.arcs.values():
+                    x.clear()
+                self.n_arcs = 0
+            self.n_arcs += 1
+            found = arcs[b] = self.merged(a + b)[0] == [a, b] if self.ties(a) or self.ties(b) else self.border_stays(a, b)
         return found
 
     def ties(self, piece: str) -> bool:
@@ -204,10 +219,10 @@ class Codec:
 
         A place has one possible last piece, so a place that leads nowhere is closed for good.
         """
-        n, ids, sizes_at, known, follows = len(text), self.id, self.sizes.get, self.pairs.get, self.follows
+        n, ids, sizes_at, arcs, follows = len(text), self.id, self.sizes.get, self.arcs, self.follows
         out: list[str] = []
         closed: set[int] = set()
-        at, below, before = 0, n + 1, None
+        at, below, before, leads = 0, n + 1, None, None
         while at < n:
             for size in sizes_at(text[at : at + 4], SHORT):
                 end = at + size
@@ -217,17 +232,23 @@ class Codec:
                 if size > 1 and piece not in ids:
                     continue
                 if before is not None:
-                    is_open = known((before, piece))
-                    if not (follows(before, piece) if is_open is None else is_open):
+                    is_open = leads.get(piece)
+                    if is_open is None:
+                        is_open = follows(before, piece)
+                    if not is_open:
                         continue
                 out.append(piece)
                 at, below, before = end, n + 1, piece
+                leads = arcs.get(piece)
+                if leads is None:
+                    leads = arcs[piece] = {}
                 break
             else:
                 closed.add(at)
                 below = len(out.pop())
                 at -= below
                 before = out[-1] if out else None
+                leads = arcs.get(before)
         return out
 
     def packed(self, pieces: list[str]) -> bytes:
@@ -242,7 +263,7 @@ class Codec:
         return self.encode_escaped(self.escaped(text))
 
     def encode_escaped(self, text: str) -> bytes:
-        units, cache = UNITS.findall(text), self.cache
+        units, cache = self.units.findall(text), self.cache
         try:
             return b"".join(map(cache.__getitem__, units))
         except KeyError:
