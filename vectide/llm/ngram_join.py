@@ -302,7 +302,7 @@ FILTER_BITS = 1 << 23
 def class_filter(classes: DataFrame) -> np.ndarray:
     """A fixed-size bit filter over the class names; false positives only cost time."""
     slot = F.col("class").bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = classes.select(F.shiftright(slot, 6).alias("at"), F.expr(f"shiftleft(1L, cast(class & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    words = classes.select(F.shiftright(slot, 6).alias("at"), F.expr("shiftleft(1L, cast(class & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(FILTER_BITS // 64, np.uint64)
     found = words.toPandas()  # FILTER_BITS / 64 rows at most
     out[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)

@@ -27,8 +27,7 @@ rest, one join of the distinct rare words of each text.
 Words and n-grams of words are known by 64-bit hashes. Edge cases: a null text
 counts as empty and still has its end symbol; rows with null ids are scored and,
 belonging to no held-out fold, learned from; without training rows every symbol
-is uniform and the base score is null if there is no training token; repeated
-rows are kept; an empty table gives no rows; extra columns are ignored.
+and every word is uniform; repeated rows are kept; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
