@@ -7,7 +7,7 @@ worker and kept in a bounded worker cache, the second tier. No pre-token is ever
 shuffled: only bounded per-task summaries of frequent words are.
 
 The first tier changes speed, never results: lengths in both tiers come from the
-library. ``table_size`` bounds the broadcast (65,536 strings), ``cache_size`` a
+library. ``table_size`` bounds the broadcast (65,536 strings of 64 characters), ``cache_size`` a
 worker's memory. Other vocabularies (.json of another kind, .model) have no
 context-free pre-tokens and are encoded by their library text by text.
 
@@ -33,6 +33,8 @@ from vectide.llm._spark import batch, lean
 # Fixed value: the pre-token pattern of byte-level BPE vocabularies of this kind.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECE_CHARS = 1 << 18
+#: Characters of an entry of the broadcast table.
+LONGEST = 64
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -119,7 +121,7 @@ def frequent_words(docs: DataFrame, table_size: int, per_task: int = 8192, held:
                     seen.update(piece.split())
                 if len(seen) > held:  # bounded memory: rare words go
                     seen = Counter(dict(seen.most_common(held // 4)))
-        top = seen.most_common(per_task)
+        top = [(w, n) for w, n in seen.most_common(per_task) if len(w) <= LONGEST]
         yield batch(schema, [w for w, _ in top], [n for _, n in top])
 
     found = docs.select("text").mapInArrow(lean(summary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(table_size)
@@ -133,7 +135,7 @@ def frequent_lengths(docs: DataFrame, path: str, table_size: int, cache_size: in
     table: dict[str, int] = {}
     for w in words:
         for x in c.find(" " + w) + c.find(w):
-            if len(x) <= 64 and len(table) < table_size:
+            if len(x) <= LONGEST and len(table) < table_size:
                 table.setdefault(x, 0)
     keys = list(table)
     return dict(zip(keys, map(len, c.library.encode_batch_fast(keys, add_special_tokens=False)), strict=True))
