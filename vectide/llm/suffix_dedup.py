@@ -221,7 +221,8 @@ def repeated_runs(docs: DataFrame, length: int = 50, k: int | None = None, hot:
     scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "key", "text")
     kept = scratch.save(kept_suffixes(docs, length, k))
-    uses = kept.groupBy("gram").agg(F.count("*").alias("uses")).where("uses > 1")
+    # as a table of its own, so the join has an exchange on either side and Spark can split a k-gram that is in many documents
+    uses = scratch.save(kept.groupBy("gram").agg(F.count("*").alias("uses")).where("uses > 1"))
     stretches = kept.join(uses, "gram").groupBy("key").agg(F.collect_set(F.struct("first", "uses")).alias("stretches"))
     rows = extended(docs.join(stretches, "key"), length, k, hot)
     rows = scratch.save(rows)
