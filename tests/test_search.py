@@ -45,7 +45,7 @@ def test_knn_is_exact(data, k):
     same(result(knn(b, q, k)), brute(base, queries, k))
 
 
-@pytest.mark.parametrize("options", [{"strategy": "sql"}, {"strategy": "sql", "form": "expanded"}, {"query_bytes": 200}, {"strategy": "sql", "query_bytes": 300}])
+@pytest.mark.parametrize("options", [{"strategy": "sql"}, {"strategy": "sql", "form": "expanded"}, {"query_bytes": 200}, {"salts": 5}, {"strategy": "sql", "query_bytes": 300}])
 def test_strategies_agree(data, options):
     base, queries, b, q = data
     want = brute(base, queries, 9)

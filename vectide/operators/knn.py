@@ -90,7 +90,7 @@ def _nearest(query: np.ndarray, k: int):
     return take, done
 
 
-def _knn_arrow(base: DataFrame, queries: DataFrame, k: int, exact: bool) -> DataFrame:
+def _knn_arrow(base: DataFrame, queries: DataFrame, k: int, exact: bool, salts: int) -> DataFrame:
     import pyarrow.compute  # noqa: F401
 
     found = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "vector").toArrow()  # bounded by query_blocks()
@@ -114,6 +114,8 @@ def _knn_arrow(base: DataFrame, queries: DataFrame, k: int, exact: bool) -> Data
     if not len(ids):
         return base.sparkSession.createDataFrame([], "query_id bigint, rank bigint, neighbor_id bigint, distance double")
     local = base.select(F.col("id").cast("bigint").alias("id"), "vector").mapInArrow(run, "q bigint, neighbor_id bigint, d2 double")
+    if salts > 1:  # k rows a task and query of very many tasks meet in two steps
+        local = ranked(local.withColumn("salt", F.pmod(F.xxhash64("neighbor_id"), F.lit(salts))), ["q", "salt"], "d2", "neighbor_id", k).drop("rank", "salt")
     best = ranked(local, "q", "d2", "neighbor_id", k)
     names = F.broadcast(base.sparkSession.createDataFrame(pa.table({"q": np.arange(len(ids)), "query_id": ids, "own": (query * query).sum(axis=1)})))  # a row per query of the block
     distance = F.col("d2") if exact else F.col("d2") - F.col("own")
@@ -138,29 +140,37 @@ def _knn_sql(base: DataFrame, queries: DataFrame, k: int, exact: bool, form: str
 
 #: Inputs below so many bytes a core are dealt out before all-pairs work; larger scans have splits enough.
 SMALL_BYTES = 16 << 20
+#: Bytes of a base whose tasks' rows meet in one step; a larger one gets a step between.
+ONE_STEP_BYTES = 256 << 30
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of the size of df; nothing runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores: all-pairs work on a small file would run in the one task that scans it. Large inputs are left as they are."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(n) if size < n * SMALL_BYTES else df
+    return df.repartition(n) if plan_bytes(df) < n * SMALL_BYTES else df
 
 
-def knn(base: DataFrame, queries: DataFrame, k: int, exact: bool = True, strategy: str = "arrow", form: str = "direct", pad: bool = False, query_bytes: int = QUERY_BYTES) -> DataFrame:
+def knn(base: DataFrame, queries: DataFrame, k: int, exact: bool = True, strategy: str = "arrow", form: str = "direct", pad: bool = False, query_bytes: int = QUERY_BYTES, salts: int | None = None) -> DataFrame:
     """The k nearest base vectors of every query.
 
     exact: distances are squared L2; otherwise they lack the query's own norm (they rank alike and may
     be negative). form, for strategy ``sql``: ``direct`` or ``expanded``. pad: with fewer than k base
-    vectors the missing ranks are (-1, FLT_MAX), otherwise they are absent.
+    vectors the missing ranks are (-1, FLT_MAX), otherwise they are absent. salts: groups in which the
+    tasks' best rows meet before they meet per query; by the size of the base if not given.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     if strategy not in ("arrow", "sql") or form not in ("direct", "expanded"):
         raise ValueError("unknown strategy or form")
+    salts = salts or 1 + min(255, plan_bytes(base) // ONE_STEP_BYTES)
     base, out = spread(base), None
     for block in query_blocks(queries, query_bytes):
-        part = _knn_arrow(base, block, k, exact) if strategy == "arrow" else _knn_sql(base, block, k, exact, form)
+        part = _knn_arrow(base, block, k, exact, salts) if strategy == "arrow" else _knn_sql(base, block, k, exact, form)
         out = part if out is None else out.unionAll(part)
     return padded(out, queries.select(F.col("query_id").cast("bigint").alias("query_id")), k) if pad else out
 
