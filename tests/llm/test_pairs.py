@@ -212,7 +212,7 @@ def test_leaks(spark):
                 if e <= min(int(m * 0.08), (m - 6) // 6):
                     want[i, j] = e
     assert got == want
-    left = Counter(r["doc_id"] for r in without_leaks(docs, bench, q=6).collect())
+    left = Counter(r["doc_id"] for r in without_leaks(docs, bench, q=6, rate=0.08).collect())
     assert left == Counter(i for i, _ in texts if not any(k == i for k, _ in want))
 
 

@@ -56,7 +56,7 @@ def test_stages(spark, folder):
     # 1: no leak stays, nothing else goes
     norm = lambda x: re.sub(r"\s+", " ", x.lower()).strip()
     windows = [norm(p)[a : a + 128] for _, p in bench if p for a in sorted({0, max(0, len(norm(p)) - 128)})]
-    dirty = {r[0] for r in cut for p in windows if edits(p, norm(r[1])) <= int(len(p) * 0.08)}
+    dirty = {r[0] for r in cut for p in windows if edits(p, norm(r[1])) <= int(len(p) * 0.1)}
     assert 3000 in dirty and Counter(r[0] for r in clean) == Counter(r[0] for r in cut if r[0] not in dirty)
     # 10: the library's ids
     import sentencepiece

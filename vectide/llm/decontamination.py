@@ -186,7 +186,7 @@ def rows_of(column: pa.Array, limit: int = t.SLICE_BYTES) -> Iterator[tuple[int,
         yield first, column.slice(first, end - first).fill_null("").to_pylist()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, q: int = 9, rate: float = 0.08, window: int = 128, block_chars: int = 1 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, window: int = 128, block_chars: int = 1 << 20) -> DataFrame:
     """(doc_id, item_id, windows_found, windows, edits, place) for every benchmark item of which docs(doc_id, text) hold a window."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sc, out = docs.sparkSession.sparkContext, None
@@ -209,7 +209,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, q: int = 9, rate: float
     return docs.sparkSession.createDataFrame([], ddl) if out is None else out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 9, rate: float = 0.08, window: int = 128, block_chars: int = 1 << 20) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, window: int = 128, block_chars: int = 1 << 20) -> DataFrame:
     """The rows of docs, all columns, whose text holds no window of the benchmark."""
     at = docs.columns.index("text")
     for matcher in blocks(benchmark, q, rate, window, block_chars):
