@@ -44,7 +44,8 @@ from vectide.llm import _text as t
 from vectide.llm._spark import Scratch, batch, connected_components, lean
 
 BUCKETS = 1 << 18
-BLOCK = 4096
+#: Members of a block of classes that are compared in one task.
+BLOCK = 1024
 U = np.uint64
 
 
@@ -235,6 +236,21 @@ def prefix_postings(rows: DataFrame, num: int, den: int) -> DataFrame:
     return first.unionAll(later)
 
 
+def settled(token: np.ndarray, run_end: np.ndarray, name: np.ndarray, rows: np.ndarray, forest: Forest) -> np.ndarray:
+    """Whether all classes in the run of each of these rows hang together already: more pairs of such a run add nothing.
+
+    Asked at doubling distances, it keeps a large group of near copies from being compared pair by pair.
+    """
+    if not len(rows):
+        return np.zeros(0, bool)
+    starts, of_row = np.unique(np.searchsorted(token, token[rows], "left"), return_inverse=True)
+    done = []
+    for a, z in zip(starts.tolist(), run_end[starts].tolist(), strict=True):
+        first = forest.root(int(name[a]))
+        done.append(all(forest.root(x) == first for x in name[a + 1 : z].tolist()))
+    return np.array(done)[of_row]
+
+
 def candidates(postings: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): a spanning forest, in each task, of the class pairs that no filter rules out."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -251,7 +267,7 @@ def candidates(postings: DataFrame, num: int, den: int) -> DataFrame:
                 continue
             run_end = np.searchsorted(token, token, "right")
             seg = np.ascontiguousarray(np.stack([s0, s1], axis=1)).view(np.uint8).reshape(-1, 16)
-            act, lag, pairs = np.flatnonzero(run_end - np.arange(len(token)) > 1), 1, []
+            act, lag, out = np.flatnonzero(run_end - np.arange(len(token)) > 1), 1, []
             while len(act):
                 other = act + lag
                 ok = other < run_end[act]
@@ -260,12 +276,13 @@ def candidates(postings: DataFrame, num: int, den: int) -> DataFrame:
                 act, other = act[ok], other[ok]
                 na, nb = size[act].astype(np.int64), size[other].astype(np.int64)
                 need = min_overlap(na, nb, num, den)
-                keep = (other >= fresh) & (name[act] != name[other]) & (1 + np.minimum(na - place[act], nb - place[other]) - 1 >= need)
+                keep = (other >= fresh) & (name[act] != name[other]) & (np.minimum(na - place[act], nb - place[other]) >= need)
                 x, y, slack = act[keep], other[keep], (na + nb - 2 * need)[keep]
                 keep = segment_gap(seg[x], seg[y]) <= slack
-                pairs.append((name[x[keep]], name[y[keep]]))
+                out += [(a, b) for a, b in zip(name[x[keep]].tolist(), name[y[keep]].tolist(), strict=True) if forest.join(a, b)]
                 lag += 1
-            out = [(a, b) for xs, ys in pairs for a, b in zip(xs.tolist(), ys.tolist(), strict=True) if forest.join(a, b)]
+                if lag & (lag - 1) == 0 and lag > 8:
+                    act = act[~settled(token, run_end, name, act, forest)]
             if out:
                 yield batch(schema, *zip(*out, strict=True))
             # the last run may go on in the next batch; members too small for the largest so far can't link any more
