@@ -115,6 +115,22 @@ def test_ppm_sums_to_one(spark):
             assert 10**p @ np.ones(len(p)) == pytest.approx(1.0, abs=1e-9)
 
 
+def test_ppm_is_whole(spark, monkeypatch):
+    """More n-grams than 2**20, dealt out to many homes and parts, give the scores of one trie of all of them."""
+    monkeypatch.setattr(ppm, "HOME_BYTES", 1 << 16, raising=False)
+    rng, order = np.random.default_rng(3), 5
+    texts = [bytes(rng.integers(97, 123, 25_000, dtype=np.uint8)).decode() for _ in range(24)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ppm.scores(docs, docs.where("doc_id < 20"), order=order).collect()}
+    grams = lambda x: next(ppm.streams(pa.array(x), order, 1 << 30))[2]
+    learned = grams(texts[:20])
+    levels = [np.unique(learned & np.uint64((1 << (8 * (j + 1))) - 1), return_counts=True) for j in range(order + 1)]
+    assert sum(len(k) for k, _ in levels) > 1 << 20
+    trie = ppm.Trie(levels)
+    for i, x in enumerate(texts):
+        assert got[i] == pytest.approx(trie.costs(grams([x])).sum())
+
+
 def test_ppm_edges(docs, clashing, empty, documents):
     got = ppm.held_out_scores(clashing, order=3)
     assert as_rows(got, "doc_id", "held_out") == Counter((i, fold(i, 5) == 1) for i, *_ in documents)

@@ -15,14 +15,16 @@ Texts are taken as UTF-8 bytes with A-Z in lower case, followed by an end symbol
 the contexts of a text begin with start symbols. Both are bytes that UTF-8 never
 has. For comparison each text also gets the smoothed unigram score of its words.
 
-Scale. Tasks count their own texts and send (n-gram, count) and (word, count) rows
-that are summed by shuffles, so counts cover all training rows. The trie has
-room for ``max_nodes`` n-grams (the model's capacity, so the broadcast is
-bounded): low orders stay whole up to a quarter of it, above them the n-grams
-above one count stay. A context's counts are those of the n-grams kept, so
-probabilities still sum to one. Word counts are looked up in two
-tiers: a broadcast table of the ``hot_words`` most frequent words and, for the
-rest, one join of the distinct rare words of each text.
+Scale. Nothing of the model is dropped: it has every n-gram of the training texts.
+Texts are dealt out to homes and contexts of three bytes to parts, both as many as
+the input needs. A home sends each part the distinct n-grams of its texts that fall
+to the part, with their counts in training texts; the part has whole sub-tries of
+its contexts, works out the cost of every n-gram it was sent and answers each home;
+a home then scores its texts by look-up among the answers to its own n-grams. So a
+task holds the n-grams of one home or of one part, never the trie. N-grams of up to
+three bytes, whose number the alphabet bounds, go to every part. Word counts are
+looked up in two tiers: a broadcast table of the ``hot_words`` most frequent words
+and, for the rest, one join of the distinct rare words of each text.
 
 Words and n-grams of words are known by 64-bit hashes. Edge cases: a null text
 counts as empty and still has its end symbol; rows with null ids are scored and,
@@ -45,6 +47,8 @@ from vectide.llm._spark import Scratch, batch, crc_mod, lean
 
 U = np.uint64
 START, END, SYMBOLS = 0xFE, 0xFF, 255  # the bytes 00-FD and the end; a start is never predicted
+#: Bytes of context by which the trie is dealt out; bytes of text a home.
+SPLIT, HOME_BYTES = 3, 1 << 24
 
 
 def streams(column: pa.Array, order: int, limit: int = t.SLICE_BYTES // 2) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -70,14 +74,16 @@ def streams(column: pa.Array, order: int, limit: int = t.SLICE_BYTES // 2) -> It
         yield lo, hi, g[places], offsets[:-1] + np.arange(docs), (b, offsets)
 
 
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of (keys, counts) with their sums."""
+    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(inverse, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
+
+
 def corpus_counts(docs: DataFrame, order: int) -> DataFrame:
     """(kind, key, n) rows of each task: kind 0 n-grams of order + 1 bytes, kind 1 words, kind 2 the end symbol of texts."""
     schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return keys, np.bincount(inverse, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {0: [], 1: []}
         texts = 0
@@ -198,7 +204,7 @@ class Trie:
 
 
 def trained(counts: DataFrame, order: int, max_nodes: int, scratch: Scratch) -> Trie:
-    """The trie of at most ``max_nodes`` n-grams from summed (key, n) of order + 1 bytes."""
+    """A trie in one piece of at most ``max_nodes`` n-grams from summed (key, n) of order + 1 bytes; scores() has no such bound."""
     # each order's counts are sums of the next one's
     levels = [counts.withColumn("level", F.lit(order))]
     for j in range(order - 1, -1, -1):
@@ -230,28 +236,154 @@ def trained(counts: DataFrame, order: int, max_nodes: int, scratch: Scratch) ->
     return Trie([(k.view(np.uint64)[o], c[o]) for k, c, o in ((key[level == j], n[level == j], np.argsort(key[level == j])) for j in range(order + 1))])
 
 
-def scores(docs: DataFrame, train: DataFrame, order: int = 5, max_nodes: int = 1 << 20, hot_words: int = 1 << 18) -> DataFrame:
+def packed(values: np.ndarray) -> bytes:
+    """Values of eight bytes by planes of bytes, which compress well where neighbours are near."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes, kind: type = np.uint64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def shorter(grams: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of n bytes that longer ones end with, and their counts."""
+    return merged([(grams & U((1 << (8 * n)) - 1), counts)])
+
+
+def part_of(grams: np.ndarray, split: int, parts: int) -> np.ndarray:
+    return (t.mix64((grams >> U(8)) & U((1 << (8 * split)) - 1)) % U(parts)).astype(np.int32)
+
+
+def sent(texts: DataFrame, order: int, split: int, parts: int) -> DataFrame:
+    """(part, home, grams, counts) of texts(home, text, trains): the distinct n-grams of a home that fall to a part, and how often training texts have them."""
+    schema = pa.schema([("part", pa.int32()), ("home", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+
+    def send(home: int, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        grams, counts = merged(held)
+        part = part_of(grams, split, parts)
+        by = np.argsort(part, kind="stable")
+        grams, counts = grams[by], counts[by]
+        there, first = np.unique(part[by], return_index=True)
+        ends = np.append(first[1:], len(grams))
+        for i in range(0, len(there), 64):
+            x = range(i, min(i + 64, len(there)))
+            yield batch(schema, there[i : i + 64], np.full(len(x), home, np.int32), [packed(grams[first[k] : ends[k]]) for k in x], [packed(counts[first[k] : ends[k]]) for k in x])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for rb in batches:
+            homes, trains = rb.column(0).to_numpy(), rb.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for home in np.unique(homes).tolist():
+                own = held.setdefault(home, [])
+                for learn in (True, False):
+                    for _, _, grams, _, _ in streams(rb.column(1).filter(pa.array((homes == home) & (trains == learn))), order):
+                        keys, n = np.unique(grams, return_counts=True)
+                        own.append((keys, n if learn else np.zeros(len(keys), np.int64)))
+                if sum(len(k) for k, _ in own) > 4_000_000:
+                    own[:] = [merged(own)]
+                    if len(own[0][0]) > 2_000_000:
+                        yield from send(home, own)
+                        own.clear()
+        for home, own in held.items():
+            if own:
+                yield from send(home, own)
+
+    return texts.select("home", "text", "trains").mapInArrow(lean(run), "part int, home int, grams binary, counts binary")
+
+
+def answered(blocks: DataFrame, low: list[tuple[np.ndarray, np.ndarray]], order: int, split: int) -> DataFrame:
+    """(home, grams, costs) for each of the blocks, which lie together and in order by part; low has the levels under split."""
+    schema = pa.schema([("home", pa.int32()), ("grams", pa.binary()), ("costs", pa.binary())])
+    low = blocks.sparkSession.sparkContext.broadcast(low)
+
+    def answer(held: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        grams, counts = merged([(unpacked(g), unpacked(n, np.int64)) for _, g, n in held])
+        # all n-grams that end like those of a part are in the part, so their sums are the shorter ones' counts
+        levels = [(grams[counts > 0], counts[counts > 0])]
+        for j in range(order - 1, split - 1, -1):
+            levels.append(shorter(*levels[-1], j + 1))
+        costs = Trie([*low.value, *levels[::-1]]).costs(grams)
+        for i in range(0, len(held), 64):
+            own = held[i : i + 64]
+            yield batch(schema, [h for h, _, _ in own], [g for _, g, _ in own], [packed(costs[np.searchsorted(grams, unpacked(g))]) for _, g, _ in own])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for rb in batches:
+            for part, *block in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+                if part != at and held:
+                    yield from answer(held)
+                    held = []
+                at = part
+                held.append(block)
+        if held:
+            yield from answer(held)
+
+    return blocks.select("part", "home", "grams", "counts").mapInArrow(lean(run), "home int, grams binary, costs binary")
+
+
+def scores(docs: DataFrame, train: DataFrame, order: int = 5, hot_words: int = 1 << 18) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of docs(doc_id, text) under a model of train(text)."""
-    scratch, sc = Scratch(docs.sparkSession), docs.sparkSession.sparkContext
-    pick = lambda d: d.select(F.col("text").cast("string").alias("text"))
-    summed = scratch.save(corpus_counts(pick(train), order).groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    docs = docs.select("doc_id", "text", F.lit(True).alias("scored"), F.lit(False).alias("trains"))
+    return _scores(docs.unionByName(train.select(F.lit(None).alias("doc_id"), "text", F.lit(False).alias("scored"), F.lit(True).alias("trains"))), order, hot_words)
+
+
+def _scores(texts: DataFrame, order: int, hot_words: int) -> DataFrame:
+    """scores() of the rows of texts(doc_id, text, scored, trains) that are scored under a model of those that train."""
+    spark, split = texts.sparkSession, min(SPLIT, order)
+    scratch, sc = Scratch(spark), spark.sparkContext
+    texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "scored", "trains")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // HOME_BYTES + 1)
+    texts = texts.withColumn("home", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
+    summed = scratch.save(corpus_counts(texts.where("trains"), max(split - 1, 0)).groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words = summed.where("kind = 1").select("key", "n")
     size = summed.where("kind > 0").agg(F.sum("n").alias("tokens"), F.count_if((F.col("kind") == 1) | (F.col("n") > 0)).alias("types"), F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("ends")).first()
     tokens, types, ends = (int(x or 0) for x in size)
-    model = sc.broadcast(trained(summed.where("kind = 0").select("key", "n"), order, max_nodes, scratch))
+    least = summed.where("kind = 0").select("key", "n").toArrow()
+    low = [merged([(np.ascontiguousarray(least["key"].to_numpy()).view(np.uint64), least["n"].to_numpy())])]
+    for j in range(split - 1, 0, -1):
+        low.insert(0, shorter(*low[0], j))
+    blocks = sent(texts.repartitionById(parts, F.col("home")), order, split, parts)
+    answers = answered(blocks.repartitionById(parts, F.col("part")).sortWithinPartitions("part"), low[:split], order, split)
     top = words.orderBy(F.desc("n"), "key").limit(hot_words).toArrow()
     hot = sc.broadcast((t.HashTable(np.ascontiguousarray(top["key"].to_numpy()).view(np.uint64)), top["n"].to_numpy()))
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[t.HashTable, np.ndarray, pa.RecordBatch]]:
+        """Runs of texts of a home, with its n-grams and their costs; answers come before texts."""
+        at, held, model, costs = None, [], None, None
+        for rb in batches:
+            home, is_text = rb.column(0).to_numpy(), rb.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            cuts = [0, *(np.flatnonzero((np.diff(home) != 0) | (is_text[1:] != is_text[:-1])) + 1).tolist(), len(home)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if home[lo] != at:
+                    at, held, model, costs = home[lo], [], None, None
+                run = rb.slice(lo, hi - lo)
+                if not is_text[lo]:
+                    held += [(unpacked(g.as_py()), unpacked(c.as_py(), np.float64)) for g, c in zip(run.column(4), run.column(5), strict=True)]
+                    continue
+                if model is None:
+                    # an n-gram that was sent twice has the same cost twice
+                    grams, first = np.unique(np.concatenate([g for g, _ in held]), return_index=True)
+                    costs = np.concatenate([c for _, c in held])[first]
+                    model, held = t.HashTable(grams), []
+                yield model, costs, run
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, count = hot.value
         logs, end_log = np.log10(count + 0.5), np.log10(ends + 0.5)
         row = TaskContext.get().partitionId() << 33
-        for rb in batches:
+        for model, costs, rb in homes(batches):
             parts = []
-            for lo, hi, grams, begins, (b, offsets) in streams(rb.column(1), order):
+            for lo, hi, grams, begins, (b, offsets) in streams(rb.column(3), order):
                 n = hi - lo
-                score = np.add.reduceat(model.value.costs(grams), begins)
+                at = model.find(grams)
+                if (at < 0).any():
+                    raise ValueError("texts were not the same when they were read again")
+                score = np.add.reduceat(costs[at], begins)
                 starts, word_ends, first = t.words(b, offsets)
                 h = t.word_hashes(b, starts, word_ends)
                 at = table.find(h)
@@ -267,12 +399,15 @@ def scores(docs: DataFrame, train: DataFrame, order: int = 5, max_nodes: int = 1
                 cuts = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(v, pa.int64())) for v in (t.signed(np.concatenate(rare)), np.concatenate(times))]
                 tokens_here = np.diff(first)
-                parts.append((np.arange(row, row + n), rb.column(0).slice(lo, n), tokens_here + 1, known[first[1:]] - known[first[:-1]] + (ends > 0), value[first[1:]] - value[first[:-1]] + end_log, score, *lists))
+                parts.append((np.arange(row, row + n), rb.column(2).slice(lo, n), tokens_here + 1, known[first[1:]] - known[first[:-1]] + (ends > 0), value[first[1:]] - value[first[:-1]] + end_log, score, *lists))
                 row += n
             for p in parts:
                 yield batch(schema, *p)
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    null = lambda kind: F.lit(None).cast(kind)
+    docs = texts.where("scored").select("home", F.lit(True).alias("is_text"), "doc_id", "text", null("binary").alias("grams"), null("binary").alias("costs"))
+    docs = docs.unionByName(answers.select("home", F.lit(False).alias("is_text"), null("long").alias("doc_id"), null("string").alias("text"), "grams", "costs"))
+    docs = docs.repartitionById(parts, F.col("home")).sortWithinPartitions("home", "is_text")
     found = scratch.save(docs.mapInArrow(lean(run), "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<long>, times array<long>"))
     rare = found.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     n = F.coalesce("n", F.lit(0))
@@ -289,8 +424,8 @@ def scores(docs: DataFrame, train: DataFrame, order: int = 5, max_nodes: int = 1
     )
 
 
-def held_out_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, order: int = 5, max_nodes: int = 1 << 20, hot_words: int = 1 << 18) -> DataFrame:
+def held_out_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, order: int = 5, hot_words: int = 1 << 18) -> DataFrame:
     """scores() of docs(doc_id, text) under a model of all other folds, with held_out."""
     fold = F.coalesce(crc_mod("doc_id", folds) == held_out, F.lit(False))
-    out = scores(docs, docs.where(~fold), order, max_nodes, hot_words)
+    out = _scores(docs.select("doc_id", "text", F.lit(True).alias("scored"), (~fold).alias("trains")), order, hot_words)
     return out.select("doc_id", fold.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
