@@ -131,6 +131,13 @@ def test_ppm_is_whole(spark, monkeypatch):
         assert got[i] == pytest.approx(trie.costs(grams([x])).sum())
 
 
+def test_ppm_learns_six_bytes(spark):
+    """Only contexts of six bytes tell what follows: q after 1abcde, z after 2abcde."""
+    train = spark.createDataFrame([("1abcdeq2abcdez" * 200,)], "text string")
+    docs = spark.createDataFrame([(0, "1abcdeq2abcdez" * 50)], "doc_id long, text string")
+    assert ppm.scores(docs, train).first()["score"] > -10
+
+
 def test_ppm_edges(docs, clashing, empty, documents):
     got = ppm.held_out_scores(clashing, order=3)
     assert as_rows(got, "doc_id", "held_out") == Counter((i, fold(i, 5) == 1) for i, *_ in documents)

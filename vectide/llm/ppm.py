@@ -322,7 +322,7 @@ def answered(blocks: DataFrame, low: list[tuple[np.ndarray, np.ndarray]], order:
     return blocks.select("part", "home", "grams", "counts").mapInArrow(lean(run), "home int, grams binary, costs binary")
 
 
-def scores(docs: DataFrame, train: DataFrame, order: int = 5, hot_words: int = 1 << 18) -> DataFrame:
+def scores(docs: DataFrame, train: DataFrame, order: int = 6, hot_words: int = 1 << 18) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of docs(doc_id, text) under a model of train(text)."""
     docs = docs.select("doc_id", "text", F.lit(True).alias("scored"), F.lit(False).alias("trains"))
     return _scores(docs.unionByName(train.select(F.lit(None).alias("doc_id"), "text", F.lit(False).alias("scored"), F.lit(True).alias("trains"))), order, hot_words)
@@ -424,7 +424,7 @@ def _scores(texts: DataFrame, order: int, hot_words: int) -> DataFrame:
     )
 
 
-def held_out_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, order: int = 5, hot_words: int = 1 << 18) -> DataFrame:
+def held_out_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, order: int = 6, hot_words: int = 1 << 18) -> DataFrame:
     """scores() of docs(doc_id, text) under a model of all other folds, with held_out."""
     fold = F.coalesce(crc_mod("doc_id", folds) == held_out, F.lit(False))
     out = _scores(docs.select("doc_id", "text", F.lit(True).alias("scored"), (~fold).alias("trains")), order, hot_words)
