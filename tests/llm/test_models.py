@@ -200,6 +200,17 @@ def test_quality_rules(graded):
     assert not got[1000]["kept"] and not got[1001]["kept"] and got[None]["kept"]
 
 
+def test_quality_rules_fit_on_4000_rows(spark, tmp_path, monkeypatch):
+    from vectide.llm import queries
+
+    spark.range(4200).selectExpr("id AS doc_id", "'some words' AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(4200).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    taken, fit = [], quality_rules.fit
+    monkeypatch.setattr(quality_rules, "fit", lambda texts, labels: (taken.append(len(texts)), fit(texts[:20], labels[:20]))[1])
+    queries.op9_quality_rules(spark, str(tmp_path))
+    assert taken == [4000]
+
+
 def test_rule_ensemble(graded):
     docs, labels, data = graded
     out = rule_ensemble.quality_scores(docs, labels)
