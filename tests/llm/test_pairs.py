@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vectide.llm import ngram_join as J
 from vectide.llm import suffix_dedup as R
@@ -185,41 +186,88 @@ def edits(pattern, text):
     return best
 
 
+def norm(x):
+    return re.sub(r"\s+", " ", (x or "").lower()).strip(" ")
+
+
+def windows_of(item, window):
+    """The windows of a normalised item: every quarter of a window, and the last."""
+    last = max(0, len(item) - window)
+    return [item[a : a + window] for a in sorted({*range(0, last + 1, max(1, window // 4)), last})] if item else []
+
+
+def leaks(texts, items, rate, window):
+    """{(doc_id, item_id): fewest edits of a window that the text holds} by brute force."""
+    want = {}
+    for i, x in texts:
+        for j, p in items:
+            # the text is not stripped: a window may begin or end with a space
+            found = [e for w in windows_of(norm(p), window) if (e := edits(w, re.sub(r"\s+", " ", (x or "").lower()))) <= min(int(len(w) * rate), len(w) - 1)]
+            if found:
+                want[i, j] = min(found)
+    return want
+
+
 def test_leaks(spark):
     rng = np.random.default_rng(4)
     letters = list("abcdefghij klmno")
     make = lambda n: "".join(rng.choice(letters, n)).strip()
-    items = [(k, make(int(rng.integers(30, 110)))) for k in range(12)] + [(90, None), (91, ""), (92, "tiny")]
+    items = [(k, make(int(rng.integers(22, 110)))) for k in range(12)] + [(90, None), (91, ""), (92, "tiny"), (93, "a tiny item z"), (94, " \n"), (95, make(31)), (96, make(9)), (97, make(17))]
     texts = []
     for k in range(60):
-        item = items[k % 12][1]
+        item = items[[*range(12), 15, 17, 18, 19][k % 16]][1]
         noisy = list(item)
-        for _ in range(k // 6):  # 0 to 9 edits
+        for _ in range(k // 8):  # 0 to 7 edits
             at = int(rng.integers(len(noisy)))
-            noisy[at : at + 1] = [[], ["x"], [noisy[at], "y"]][int(rng.integers(3))]
-        texts.append((k, make(200) + " " + "".join(noisy).upper() + "\n\t" + make(150)))
-    texts += [(200, None), (201, ""), (None, items[0][1]), (202, make(5000))]
+            noisy[at : at + 1] = [[], ["x"], [noisy[at], "y"]][int(rng.integers(3))] if len(noisy) > 1 else ["x"]
+        texts.append((k, make(100) + " " + "".join(noisy).upper() + "\n\t" + make(50)))
+    texts += [(200, None), (201, ""), (None, items[0][1]), (202, make(2000)), (203, items[1][1]), (204, "tiny"), (205, items[19][1]), (206, items[19][1][1:])]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in contamination(docs, bench, q=6, rate=0.08, window=128).collect()}
-    norm = lambda x: re.sub(r"\s+", " ", x.lower()).strip()
-    want = {}
-    for i, x in texts:
-        for j, p in items:
-            if p and len(norm(p)) >= 12 and x:
-                m = len(norm(p))
-                e = edits(norm(p), norm(x))
-                if e <= min(int(m * 0.08), (m - 6) // 6):
-                    want[i, j] = e
-    assert got == want
-    left = Counter(r["doc_id"] for r in without_leaks(docs, bench, q=6, rate=0.08).collect())
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in contamination(docs, bench, q=6, rate=0.1, window=64).collect()}
+    want = leaks(texts, items, 0.1, 64)
+    assert got == want and len({j for _, j in want}) > 12
+    left = Counter(r["doc_id"] for r in without_leaks(docs, bench, q=6, rate=0.1, window=64).collect())
     assert left == Counter(i for i, _ in texts if not any(k == i for k, _ in want))
 
 
+def test_leaks_do_not_cross_texts(spark):
+    item = "an item of the benchmark whose halves stand in two texts"
+    halves = [(1, "some words before " + item[:28]), (2, item[28:] + " some words after"), (3, item[:28]), (4, item[28:]), (5, item[:20]), (6, ""), (7, item[20:])]
+    whole = [(8, item), (9, "x"), (10, item), (11, item + " " + item)]
+    bench = spark.createDataFrame([(1, item), (2, "ab")], "item_id long, text string")
+    tiny = [(20 + k, x) for k, x in enumerate(["a", "b", "ab", "ba", "a", "b"])]
+    results = []
+    for parts in (1, 4):
+        docs = spark.createDataFrame(halves + whole + tiny, "doc_id long, text string").repartition(parts) if parts > 1 else spark.createDataFrame(halves + whole + tiny, "doc_id long, text string").coalesce(1)
+        results.append(sorted((r["doc_id"], r["item_id"], r["edits"], r["place"]) for r in contamination(docs, bench).collect()))
+        assert {r["doc_id"] for r in without_leaks(docs, bench).collect()} == {x for x, *_ in halves + whole + tiny} - {8, 10, 11, 22}
+    assert results[0] == results[1] == [(8, 1, 0, 0), (10, 1, 0, 0), (11, 1, 0, 0), (22, 2, 0, 0)]
+
+
+def test_excerpts_of_an_item(spark):
+    rng = np.random.default_rng(9)
+    item = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(3, 9)))) for _ in range(60))
+    docs = spark.createDataFrame([(a, "before it " + item[a : a + 79] + " after") for a in range(0, len(item) - 79, 7)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert contamination(docs, bench).count() == docs.count() and without_leaks(docs, bench).count() == 0
+
+
+def test_leaks_clashing(clashing, spark):
+    text = clashing.where("doc_id = 5").first()["text"]
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    wide = clashing.withColumns({"item_id": F.lit(3), "windows": F.lit("w"), "edits": F.lit(0), "place": F.lit(1)})
+    left = without_leaks(wide, bench)
+    assert left.columns == wide.columns and 5 not in {r["doc_id"] for r in left.collect()}
+    assert {r["doc_id"] for r in contamination(wide, bench).collect()} >= {5} and left.count() < wide.count()
+
+
 def test_blocks_of_the_benchmark(spark, docs, documents):
     bench = spark.createDataFrame([(k, x[40:160]) for k, (_, x, *_) in enumerate(documents) if x and len(x) > 200][:10], "item_id long, text string")
     whole = Counter(map(tuple, contamination(docs, bench).collect()))
     assert whole and whole == Counter(map(tuple, contamination(docs, bench, block_chars=300).collect()))
+    left = Counter(r["doc_id"] for r in without_leaks(docs, bench).collect())
+    assert left == Counter(r["doc_id"] for r in without_leaks(docs, bench, block_chars=300).collect())
 
 
 def test_leaks_of_empty(empty, docs, spark):
@@ -231,5 +279,8 @@ def test_leaks_of_empty(empty, docs, spark):
 
 
 def test_windows_of_an_item():
-    m = Matcher([(1, "0123456789abcdefghij" * 12)], 9, 0.08, 128)
-    assert [len(c) for c in m.codes] == [128, 128, 128] and m.total == {0: 3}
+    text = "0123456789abcdefghij" * 12
+    m = Matcher([(1, text)], 9, 0.08, 128)
+    assert ["".join(map(chr, c)) for c in m.codes] == windows_of(text, 128) and m.total == {0: len(m.codes)}
+    # 3 edits in 30 characters leave no 8-gram for certain, so shorter ones are taken
+    assert Matcher([(1, "x" * 30)], 8, 0.1, 64).q.tolist() == [7]

@@ -1,26 +1,34 @@
 """Benchmark decontamination by the q-gram lemma (operator 1).
 
-Benchmark items are cut into overlapping windows of at most ``window`` characters.
-A window of m characters occurs in a text when some part of the text is within k
-= floor(rate * m) edits of it. Such a part shares at least m + 1 - q * (k + 1)
-q-grams with the window, on diagonals (text place - window place) that lie within
-k of each other. So shared q-grams are counted in overlapping bands of diagonals,
-bands below that bound are dropped, and the rest is verified by an alignment that
-is confined to the band. No occurrence is missed.
+Benchmark items are cut into windows of at most ``window`` characters, one every
+``window / 4``; an item up to that length is one window. A window of m characters
+occurs in a text when some part of the text is within k = floor(rate * m) edits
+of it. Such a part shares at least m + 1 - q * (k + 1) q-grams with the window, on
+diagonals (text place - window place) that lie within k of each other. So shared
+q-grams are counted in overlapping bands of diagonals, bands below that bound are
+dropped, and the rest is verified by an alignment that is confined to the band.
+Short windows use q-grams short enough for a bound of one at least (q is then
+m / (k + 1)), so every window of every item is searched for and no occurrence is
+missed. An excerpt of ``window * 5 / 4`` characters holds a whole window.
+
+Bands belong to one text: the texts of a batch stand apart by more than a band is
+wide, and an alignment ends where its text does. Results depend on the text
+alone, not on what stands beside it.
 
 Texts and items are compared after lower-casing, with every run of white space
 as one space.
 
 Scale. One pass over the texts and no shuffle: the benchmark is the stated query
-set, held by every worker in blocks of ``block_chars`` characters, so a larger
-benchmark means more passes, never a larger broadcast. Work is vectorised over
-the q-grams of about a megabyte of text at a time.
-
-Edge cases: null and empty texts and items match nothing; items shorter than
-``2 * q`` characters are no evidence of a leak and are ignored; k is lowered where
-the lemma would give no bound; an item that occurs twice in a text gives one row;
-repeated rows give repeated results; rows with null ids are searched like any
-other; extra columns are ignored. Empty tables give no rows.
+set, held by every worker in blocks of about ``block_chars`` characters. Blocks
+are searched one after the other, and the driver lets go of one before it reads
+the next, so a larger benchmark means more passes, never a larger broadcast. Work
+is vectorised over the q-grams of about a megabyte of text at a time.
+
+Edge cases: null, empty and blank texts and items match nothing; items of a few
+characters are searched for like any other, and are found where they stand by
+chance; an item that occurs twice in a text gives one row; repeated rows give
+repeated results; rows with null ids are searched like any other; extra columns
+are ignored or, in without_leaks(), kept. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -33,11 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm import _text as t
-from vectide.llm._spark import batch, lean
+from vectide.llm._spark import Scratch, batch, lean
 
 U = np.uint64
 GRAM, FILTER_BITS = U(0x9E3779B97F4A7C15), 22
 STEP = 16  # width of a band besides k
+NEVER = 1 << 20  # edits of what is impossible
 
 
 def normalised(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,19 +70,49 @@ def qgrams(code: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
+class Grams:
+    """The q-grams of one length of some windows."""
+
+    def __init__(self, q: int, number: np.ndarray, codes: list[np.ndarray]):
+        self.q = q
+        grams = [qgrams(c, q) for c in codes]
+        flat = np.concatenate(grams)
+        window_of = np.repeat(number.astype(np.int32), [len(g) for g in grams])
+        place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams])
+        order = np.argsort(flat, kind="stable")
+        self.window_of, self.place = window_of[order], place[order]
+        keys, self.first, self.n = np.unique(flat[order], return_index=True, return_counts=True)
+        self.table = t.HashTable(keys)
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.filter[self._slot(keys)] = True
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys * U(0xD1342543DE82EF95) >> U(64 - FILTER_BITS)).astype(np.int64)
+
+    def shared(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the text, window, place in the window) of every q-gram that text and windows share."""
+        grams = qgrams(code, self.q)
+        at = np.flatnonzero(self.filter[self._slot(grams)])
+        row = self.table.find(grams[at])
+        at, row = at[row >= 0], row[row >= 0]
+        n = self.n[row]
+        entry = np.repeat(self.first[row] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.repeat(at, n), self.window_of[entry].astype(np.int64), self.place[entry].astype(np.int64)
+
+
 class Matcher:
     """Finds the windows of some benchmark items in texts."""
 
     def __init__(self, items: list[tuple[int, str]], q: int, rate: float, window: int):
-        self.q = q
         self.codes, self.item, self.total = [], [], {}
         for number, (_, text) in enumerate(items):
             code, _ = normalised([text])
             code = code[1:] if len(code) and code[0] == 32 else code
             code = code[:-1] if len(code) and code[-1] == 32 else code
-            if len(code) < 2 * q:
+            if not len(code):
                 continue
-            starts = list(range(0, max(1, len(code) - window + 1), window // 2))
+            starts = list(range(0, max(1, len(code) - window + 1), max(1, window // 4)))
             if starts[-1] + window < len(code):
                 starts.append(len(code) - window)
             self.total[number] = len(starts)
@@ -82,102 +121,90 @@ class Matcher:
                 self.item.append(number)
         self.ids = [i for i, _ in items]
         self.m = np.array([len(c) for c in self.codes], np.int64)
-        self.k = np.minimum((self.m * rate).astype(np.int64), (self.m - q) // q)
-        self.least = self.m + 1 - q * (self.k + 1)
-        grams = [qgrams(c, q) for c in self.codes]
-        flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        window_of = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
-        order = np.argsort(flat, kind="stable")
-        self.window_of, self.place = window_of[order], place[order]
-        keys, first, n = np.unique(flat[order], return_index=True, return_counts=True)
-        self.table, self.first, self.n = t.HashTable(keys), first, n
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[self._slot(keys)] = True
+        self.k = np.minimum((self.m * rate).astype(np.int64), self.m - 1)
+        #: the length of each window's q-grams, short enough that an occurrence shares one of them at least
+        self.q = np.minimum(q, self.m // (self.k + 1))
+        self.least = self.m + 1 - self.q * (self.k + 1)
+        self.grams = [Grams(int(x), np.flatnonzero(self.q == x), [self.codes[i] for i in np.flatnonzero(self.q == x)]) for x in np.unique(self.q)]
         size = int(self.m.max()) if len(self.m) else 0
+        #: diagonals between those of two texts, so that no band has both
+        self.gap = -(-(size + 2 * STEP + 2 * int(self.k.max(initial=0))) // STEP) * STEP
         self.padded = np.zeros((len(self.codes), size), np.uint32)
         for row, c in zip(self.padded, self.codes, strict=True):
             row[: len(c)] = c
 
-    @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        return (keys * U(0xD1342543DE82EF95) >> U(64 - FILTER_BITS)).astype(np.int64)
-
     def find(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text number, item number, windows found, fewest edits, place of the first) for every item found in a text."""
         code, offsets = normalised(texts)
-        if not len(self.m) or len(code) < self.q:
+        hits = [g.shared(code) for g in self.grams if len(code) >= g.q]
+        if not hits:
             return
-        grams = qgrams(code, self.q)
-        at = np.flatnonzero(self.filter[self._slot(grams)])
-        row = self.table.find(grams[at])
-        at, row = at[row >= 0], row[row >= 0]
-        n = self.n[row]
-        begin = np.cumsum(n) - n
-        entry = np.repeat(self.first[row] - begin, n) + np.arange(int(n.sum()))
-        w = self.window_of[entry]
-        diagonal = np.repeat(at, n) - self.place[entry] + (1 << 31)
+        at, w, place = (np.concatenate(x) for x in zip(*hits, strict=True))
+        text = np.searchsorted(offsets, at, "right") - 1
+        diagonal = at - place + text * self.gap + (1 << 31)
         k = self.k[w]
         band, rest = diagonal // STEP, diagonal % STEP
         # a band is STEP + k diagonals wide and overlaps the next by k; k may span several steps
-        keys = [w << 33 | band]
-        for back in range(1, 1 + int(-(-(self.k.max()) // STEP)) if len(self.k) else 1):
+        keys, texts_of = [w << 33 | band], [text]
+        for back in range(1, 1 + int(-(-(self.k.max()) // STEP))):
             also = rest + (back - 1) * STEP < k
             keys.append(w[also] << 33 | (band[also] - back))
-        found, count = np.unique(np.concatenate(keys), return_counts=True)
-        w, band = found >> 33, found & ((1 << 33) - 1)
+            texts_of.append(text[also])
+        found, first, count = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
+        w, band, text = found >> 33, found & ((1 << 33) - 1), np.concatenate(texts_of)[first]
         ok = count >= self.least[w]
-        w, band = w[ok], band[ok]
-        if not len(w):
-            return
-        low = band * STEP - (1 << 31)
-        edits, end = self.align(code, w, low)
-        ok = edits <= self.k[w]
-        w, edits, end = w[ok], edits[ok], end[ok]
-        text = np.searchsorted(offsets, np.maximum(0, end - 1), "right") - 1
+        w, band, text = w[ok], band[ok], text[ok]
         best: dict[tuple[int, int], list] = {}
-        for x, v, e, z in zip(text.tolist(), w.tolist(), edits.tolist(), end.tolist(), strict=True):
-            b = best.setdefault((x, self.item[v]), [set(), e, z - int(self.m[v]) - int(offsets[x])])
-            b[0].add(v)
-            b[1] = min(b[1], e)
-            b[2] = min(b[2], z - int(self.m[v]) - int(offsets[x]))
+        for i in range(0, len(w), 1 << 16):  # the alignments of so many bands are in memory at once
+            v, x = w[i : i + (1 << 16)], text[i : i + (1 << 16)]
+            low = band[i : i + (1 << 16)] * STEP - (1 << 31) - x * self.gap
+            edits, end = self.align(code, v, low, offsets[x], offsets[x + 1] - 1)
+            ok = edits <= self.k[v]
+            for x1, v1, e, z in zip(x[ok].tolist(), v[ok].tolist(), edits[ok].tolist(), end[ok].tolist(), strict=True):
+                place = max(0, z - int(self.m[v1]) - int(offsets[x1]))
+                b = best.setdefault((x1, self.item[v1]), [set(), e, place])
+                b[0].add(v1)
+                b[1], b[2] = min(b[1], e), min(b[2], place)
         for (x, item), (windows, e, z) in sorted(best.items()):
-            yield x, item, len(windows), e, max(0, z)
+            yield x, item, len(windows), e, z
 
-    def align(self, code: np.ndarray, w: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Edits and end of the best occurrence of windows w on diagonals low - k .. low + STEP + 2k, all at once."""
+    def align(self, code: np.ndarray, w: np.ndarray, low: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edits and end of the best occurrence of windows w on diagonals low - k .. low + STEP + 2k within code[begin:stop], all at once."""
         k, m, size = self.k[w], self.m[w], int(self.m[w].max())
         kmax = int(k.max())
         width = STEP + 3 * kmax + 1
         left = low - kmax
         slope = np.arange(width)
-        d = np.zeros((len(w), width), np.int32)
-        edits, end = np.full(len(w), 1 << 20), np.zeros(len(w), np.int64)
+        # column c after i characters of the window stands for the place left + c + i of the text
+        d = np.where((left[:, None] + slope >= begin[:, None]) & (left[:, None] + slope <= stop[:, None]), 0, NEVER).astype(np.int32)
+        edits, end = np.full(len(w), NEVER), np.zeros(len(w), np.int64)
         up = np.empty_like(d)
         for i in range(1, size + 1):
             place = left[:, None] + slope + (i - 1)
-            inside = (place >= 0) & (place < len(code))
-            char = np.where(inside, code[np.clip(place, 0, len(code) - 1)], 0)
-            cost = (char != self.padded[w, i - 1][:, None]) | (char == 0)
+            inside = (place >= begin[:, None]) & (place < stop[:, None])
+            char = code[np.clip(place, 0, len(code) - 1)]
+            cost = np.where(inside, char != self.padded[w, i - 1][:, None], NEVER)
             up[:, :-1] = d[:, 1:] + 1
-            up[:, -1] = 1 << 20
-            d = np.minimum(d + cost, up)
-            d = np.minimum.accumulate(d - slope, axis=1) + slope
+            up[:, -1] = NEVER
+            d = np.minimum(np.minimum(d + cost, up), NEVER)
+            # a character of the text is skipped only inside the text
+            apart = np.cumsum(~inside, axis=1) * (4 * NEVER)
+            d = np.minimum(np.minimum.accumulate(d - slope - apart, axis=1) + slope + apart, NEVER).astype(np.int32)
             done = np.flatnonzero(m == i)
             if len(done):
                 c = d[done].argmin(axis=1)
                 edits[done], end[done] = d[done, c], left[done] + c + i
-        return edits, np.clip(end, 0, len(code))
+        return edits, end
 
 
-def blocks(benchmark: DataFrame, q: int, rate: float, window: int, block_chars: int) -> Iterator[Matcher]:
-    """Matchers for parts of the benchmark of about ``block_chars`` characters."""
+def blocks(benchmark: DataFrame, q: int, rate: float, window: int, block_chars: int) -> Iterator[tuple[Matcher, bool]]:
+    """Matchers for parts of the benchmark of about ``block_chars`` characters, and whether each is the last."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-int(size) // block_chars)
     for i in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text")
-        yield Matcher([(r[0], r[1]) for r in part.collect()], q, rate, window)
+        yield Matcher([(r[0], r[1]) for r in part.collect()], q, rate, window), i + 1 == n
 
 
 def rows_of(column: pa.Array, limit: int = t.SLICE_BYTES) -> Iterator[tuple[int, list[str]]]:
@@ -186,13 +213,13 @@ def rows_of(column: pa.Array, limit: int = t.SLICE_BYTES) -> Iterator[tuple[int,
         yield first, column.slice(first, end - first).fill_null("").to_pylist()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, window: int = 128, block_chars: int = 1 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, window: int = 64, block_chars: int = 1 << 19) -> DataFrame:
     """(doc_id, item_id, windows_found, windows, edits, place) for every benchmark item of which docs(doc_id, text) hold a window."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sc, out = docs.sparkSession.sparkContext, None
+    sc, out, scratch = docs.sparkSession.sparkContext, None, None
     schema = pa.schema([(x, pa.int64()) for x in ("doc_id", "item_id", "windows_found", "windows", "edits", "place")])
     ddl = "doc_id long, item_id long, windows_found long, windows long, edits long, place long"
-    for matcher in blocks(benchmark, q, rate, window, block_chars):
+    for matcher, last in blocks(benchmark, q, rate, window, block_chars):
         shared = sc.broadcast(matcher)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -205,14 +232,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float
                     yield batch(schema, *zip(*found, strict=True))
 
         part = docs.mapInArrow(lean(search), ddl)
+        if not last:  # written before the next block is read
+            scratch = scratch or Scratch(docs.sparkSession)
+            part = scratch.save(part)
+            shared.destroy()
         out = part if out is None else out.unionAll(part)
     return docs.sparkSession.createDataFrame([], ddl) if out is None else out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, window: int = 128, block_chars: int = 1 << 20) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, window: int = 64, block_chars: int = 1 << 19) -> DataFrame:
     """The rows of docs, all columns, whose text holds no window of the benchmark."""
-    at = docs.columns.index("text")
-    for matcher in blocks(benchmark, q, rate, window, block_chars):
+    at, scratch, before = docs.columns.index("text"), None, None
+    for matcher, last in blocks(benchmark, q, rate, window, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(matcher)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -224,4 +255,11 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float
                 yield rb.filter(pa.array(keep))
 
         docs = docs.mapInArrow(lean(clean), docs.schema)
+        if not last:  # written before the next block is read
+            scratch = scratch or Scratch(docs.sparkSession)
+            docs = scratch.save(docs)
+            shared.destroy()
+            if before is not None:
+                scratch.drop(before)
+            before = docs
     return docs

@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vectide.llm.decontamination import contamination
 
-    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), q=8, rate=0.1, window=128)
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), q=8, rate=0.1, window=64)
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
