@@ -124,38 +124,53 @@ def test_spans(docs, documents, length):
 
 
 def test_hot_passages_give_the_same(docs):
-    one = R.merged(R.repeated_runs(R.keyed(docs), 5, hot=2), 5)
-    two = R.merged(R.repeated_runs(R.keyed(docs), 5), 5)
-    assert Counter(map(tuple, one.collect())) == Counter(map(tuple, two.collect()))
+    runs = [R.repeated_runs(R.keyed(docs.repartition(parts)), 5, hot=hot) for hot, parts in ((2, 1), (2, 7), (1 << 30, 3))]
+    # which of all passages are repeated, and which of them go
+    got = [Counter({(r["doc_id"], r["key"], k): r["removable"] for r in x.collect() for k in range(r["start"], r["end"] + 1)}) for x in runs]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 1000
 
 
-def test_without_repeats(clashing, documents):
-    out = R.without_repeats(clashing, 20)
-    assert out.columns == clashing.columns
-    # in the order of (id, text hash) every passage stays exactly once
-    rows = sorted({(r["doc_id"], r["text"]) for r in R.keyed(clashing).select("doc_id", "text", "key").collect()}, key=lambda r: (r[0] is not None, r[0] or 0))
-    key = {(r["doc_id"], r["text"]): r["key"] for r in R.keyed(clashing).select("doc_id", "text", "key").collect()}
-    rows.sort(key=lambda r: ((r[0] is not None, r[0] or 0), key[r]))
-    seen, want = set(), {}
-    count = Counter((i, x) for i, x, *_ in documents)
-    words = {r: WORD.findall(r[1] or "") for r in rows}
-    gone = {r: set() for r in rows}
-    for r in rows:
-        w = words[r]
-        for k in range(len(w) - 19):
-            p = tuple(w[k : k + 20])
-            if p in seen or count[r] > 1:
-                gone[r] |= set(range(k, k + 20))
+def kept_texts(documents, keys, length):
+    """The words that stay of every row, in the order of (id, key), where each passage stays at its first place."""
+    seen, want = set(), []
+    for r in sorted(documents, key=lambda r: (r[0] is not None, r[0] or 0, keys[r[0], r[1]])):
+        w, gone = WORD.findall(r[1] or ""), set()
+        for k in range(len(w) - length + 1):
+            p = tuple(w[k : k + length])
+            if p in seen:
+                gone |= set(range(k, k + length))
             seen.add(p)
-    for r in rows:
-        want[r[0], r[1]] = [x for k, x in enumerate(words[r]) if k not in gone[r]]
-    single = {r for r in rows if count[r] == 1}
-    got = {r["doc_id"]: r for r in out.collect() if r["doc_id"] is not None}
-    for i, x in single:
-        if i is not None:
-            assert WORD.findall(got[i]["text"] or "") == want[i, x], i
-            assert got[i]["n_chars"] == (None if got[i]["text"] is None else len(got[i]["text"]))
-    assert out.count() == len(documents)
+        want.append((r[0], tuple(x for k, x in enumerate(w) if k not in gone)))
+    return Counter(want)
+
+
+@pytest.mark.parametrize("length", [5, 20])
+def test_without_repeats(spark, clashing, documents, length):
+    wide = clashing.unionAll(clashing.where("doc_id in (5, 8, 20, 61) or doc_id is null")).unionAll(clashing.where("doc_id = 5"))
+    out = R.without_repeats(wide, length)
+    assert out.columns == clashing.columns
+    all_rows = [(r["doc_id"], r["text"]) for r in wide.collect()]
+    keys = {(r["doc_id"], r["text"]): r["key"] for r in R.keyed(wide).select("doc_id", "text", "key").collect()}
+    got = out.collect()
+    assert Counter((r["doc_id"], tuple(WORD.findall(r["text"] or ""))) for r in got) == kept_texts(all_rows, keys, length)
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
+    assert Counter(r["key"] for r in got) == {7: len(all_rows)}
+
+
+def test_repeated_rows_keep_one_text(spark):
+    text = "a b " + " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text), (1, text), (None, "c " + text), (None, "c " + text), (2, "short"), (2, "short"), (3, None), (3, None)], "doc_id long, text string")
+    for parts in (1, 5):
+        got = Counter(map(tuple, R.without_repeats(docs.repartition(parts)).collect()))
+        assert got == Counter([(None, "c " + text), (None, ""), (1, ""), (1, ""), (2, "short"), (2, "short"), (3, None), (3, None)])
+
+
+def test_neighbours_alone_would_not_do(spark):
+    """The copy that goes on longest to the right isn't the one that goes on to the left."""
+    left, mid, right = (" ".join(f"{x}{k}" for k in range(30)) for x in "lmr")
+    docs = spark.createDataFrame([(1, f"{left} {mid} {right}"), (2, f"x {mid} {right} y"), (3, f"{left} {mid} z"), (4, f"{mid} {right} q")], "doc_id long, text string")
+    got = sorted(map(tuple, R.repeated_spans(docs).collect()))
+    assert got == [(1, 0, 90, 90), (2, 1, 61, 60), (3, 0, 60, 60), (4, 0, 60, 60)]
 
 
 def test_without_repeats_keeps_bytes(spark):
