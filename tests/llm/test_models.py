@@ -408,7 +408,7 @@ def test_chunks_equal_the_library(model):
             total = codec.max_plus(total, m)
         final = [j for j, (_, z) in enumerate(c.states(text, len(text))) if z == len(text) and np.isfinite(total[0, j])]
         assert len(final) == 1
-        leave = codec.states_at_cuts(matrices, final[0])
+        leave = codec.states_at_cuts(matrices, 0, final[0])
         out = b"".join(c.traced(text, c.states(text, a)[0 if k == 0 else leave[k - 1]], c.states(text, z)[leave[k]]) for k, (a, z) in enumerate(zip(cuts, cuts[1:])))
         assert np.frombuffer(out, np.int32).tolist() == library.encode(x[:400])
 
@@ -428,7 +428,7 @@ def test_open_arcs(model):
             assert c.border_stays(a, b) == (c.merged(a + b)[0] == [a, b])
 
 
-def test_encoding_query(docs, clashing, empty, documents, model):
+def test_encoding_query(docs, clashing, empty, documents, model, monkeypatch):
     _, library = model
     path = P.path("piece_bpe_32k.model")
     want = Counter((i, len(e), zlib.crc32(np.array(e, np.int32).tobytes()), True) for i, e in ((i, library.encode(x or "")) for i, x, *_ in documents))
@@ -439,6 +439,9 @@ def test_encoding_query(docs, clashing, empty, documents, model):
     assert as_rows(got, "doc_id", "n_tokens", "ids_crc", "round_trip") == want
     assert all(len(r["token_ids"]) == 4 * r["n_tokens"] for r in got.collect())
     assert codec.encoding_digests(empty, path).count() == 0
+    monkeypatch.setattr(codec, "FAN", 4)  # the matrices of the longest text by a tree of five levels
+    got = codec.encoding_digests(docs, path, giant=500, chunk=50)
+    assert as_rows(got, "doc_id", "n_tokens", "ids_crc", "round_trip") == want
     back = codec.decoded(codec.encoded(docs, path, giant=500, chunk=64), path)
     assert as_rows(back, "doc_id", "text") == Counter((i, (x or "").replace("▁", " ")) for i, x, *_ in documents)
 

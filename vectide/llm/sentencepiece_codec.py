@@ -15,8 +15,9 @@ by id; tests hold them against it.
   dealt to all tasks. The state at a cut is the piece over its last character;
   every piece that matches there is a candidate. A chunk yields the matrix of
   weights from the states at its start to those at its end. The matrices of a
-  text are combined (an associative max-plus product), which fixes the state at
-  every cut, and each chunk is then traced back on its own.
+  text are combined (an associative max-plus product) by a tree of 64 branches,
+  which fixes the state at every cut on the way down, and each chunk is then traced
+  back on its own. Only the ids of a text meet in one row.
 
 Edge cases: a null text counts as empty and has no ids; U+2581 is encoded as a
 space, as by the library; characters outside the vocabulary become byte pieces;
@@ -33,6 +34,7 @@ import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -347,16 +349,20 @@ class Codec:
         return self.packed(out[::-1]) + self.encode_escaped(text[stop:end])
 
 
+#: Neighbouring matrices that one task combines.
+FAN = 64
+
+
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None]).max(axis=1) if a.size and b.size else np.full((a.shape[0], b.shape[1]), MINUS)
 
 
-def states_at_cuts(matrices: list[np.ndarray], final: int) -> list[int]:
-    """The state at the end of every chunk of the path from state 0 to state ``final``."""
-    prefix = [matrices[0][:1]]
+def states_at_cuts(matrices: list[np.ndarray], enter: int, leave: int) -> list[int]:
+    """The state at the end of every chunk of the path from state ``enter`` to state ``leave``."""
+    prefix = [matrices[0][enter : enter + 1]]
     for m in matrices[1:]:
         prefix.append(max_plus(prefix[-1], m))
-    state, out = final, []
+    state, out = leave, []
     for k in range(len(matrices) - 1, -1, -1):
         out.append(state)
         if k:
@@ -396,6 +402,7 @@ def chunked(docs: DataFrame, path: str, chunk: int) -> DataFrame:
 
 def giant_ids(docs: DataFrame, path: str, chunk: int, scratch: Scratch) -> DataFrame:
     """(doc_id, exact, ids) of docs(doc_id, text), none of them empty, by chunks that any task may take."""
+    fan = FAN
     parts = scratch.save(chunked(docs, path, chunk).repartition("row", "chunk"))
     matrix = pa.schema([("row", pa.int64()), ("chunk", pa.int64()), ("states", pa.int64()), ("weights", pa.binary()), ("ends", pa.list_(pa.int64()))])
     between = pa.schema([("row", pa.int64()), ("chunk", pa.int64()), ("enter", pa.int64()), ("leave", pa.int64())])
@@ -409,15 +416,25 @@ def giant_ids(docs: DataFrame, path: str, chunk: int, scratch: Scratch) -> DataF
                 whole = [j for j, (_, z) in enumerate(c.states(r["text"], r["end"])) if z == r["end"]]
                 yield batch(matrix, [r["row"]], [r["chunk"]], [m.shape[0]], [m.tobytes()], [whole])
 
-    def combine(table: pa.Table) -> pa.Table:
+    def in_order(table: pa.Table) -> tuple[list[dict], list[np.ndarray]]:
         rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-        matrices = [np.frombuffer(r["weights"]).reshape(r["states"], -1) for r in rows]
-        total = matrices[0][:1]
-        for m in matrices[1:]:
-            total = max_plus(total, m)
-        final = next(j for j in rows[-1]["ends"] if np.isfinite(total[0, j]))
-        leave = states_at_cuts(matrices, final)
-        return pa.table([[r["row"] for r in rows], [r["chunk"] for r in rows], [0, *leave[:-1]], leave], schema=between)
+        return rows, [np.frombuffer(r["weights"]).reshape(r["states"], -1) for r in rows]
+
+    def combine(table: pa.Table) -> pa.Table:
+        """One matrix for ``fan`` neighbouring ones."""
+        rows, matrices = in_order(table)
+        total = reduce(max_plus, matrices)
+        return pa.table([[rows[0]["row"]], [rows[0]["chunk"] // fan], [total.shape[0]], [total.tobytes()], [rows[-1]["ends"]]], schema=matrix)
+
+    def descend(table: pa.Table) -> pa.Table:
+        """The states at the cuts inside a part of which the outer ones are known (outer_leave null: the part is a text)."""
+        rows, matrices = in_order(table)
+        enter, final = rows[0]["outer_enter"], rows[0]["outer_leave"]
+        if final is None:
+            total = reduce(max_plus, matrices[1:], matrices[0][enter : enter + 1])
+            final = next(j for j in rows[-1]["ends"] if np.isfinite(total[0, j]))
+        leave = states_at_cuts(matrices, enter, final)
+        return pa.table([[r["row"] for r in rows], [r["chunk"] for r in rows], [enter, *leave[:-1]], leave], schema=between)
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -427,11 +444,23 @@ def giant_ids(docs: DataFrame, path: str, chunk: int, scratch: Scratch) -> DataF
                 found = c.traced(r["text"], enter, leave)
                 yield batch(ids, [r["row"]], [r["doc_id"]], [c.spells(found, r["text"][enter[1] : leave[1]])], [r["chunk"]], [found])
 
-    cuts = parts.mapInArrow(lean(transfers), "row long, chunk long, states long, weights binary, ends array<long>")
-    cuts = cuts.groupBy("row").applyInArrow(combine, "row long, chunk long, enter long, leave long")
+    ddl = "row long, chunk long, states long, weights binary, ends array<long>"
+    levels, most = [parts.mapInArrow(lean(transfers), ddl)], parts.agg(F.max("chunk")).first()[0] or 0
+    outer = F.floor(F.col("chunk") / fan)
+    while most >= fan:  # a level is read on the way up and on the way down
+        levels[-1] = scratch.save(levels[-1])
+        levels.append(levels[-1].groupBy("row", outer).applyInArrow(combine, ddl))
+        most //= fan
+    cuts = None
+    for level in reversed(levels):
+        if cuts is None:
+            inside = level.withColumns({"outer_enter": F.lit(0).cast("long"), "outer_leave": F.lit(None).cast("long")})
+        else:
+            inside = level.withColumn("outer", outer).join(cuts.select("row", F.col("chunk").alias("outer"), F.col("enter").alias("outer_enter"), F.col("leave").alias("outer_leave")), ["row", "outer"])
+        cuts = inside.groupBy("row", outer).applyInArrow(descend, "row long, chunk long, enter long, leave long")
     traced = parts.join(cuts, ["row", "chunk"]).select("row", "doc_id", "chunk", "text", "begin", "end", "enter", "leave")
     traced = traced.mapInArrow(lean(trace), "row long, doc_id long, exact boolean, chunk long, ids binary")
-    joined = F.expr("aggregate(transform(array_sort(collect_list(struct(chunk, ids))), x -> x.ids), cast('' as binary), (a, x) -> concat(a, x))")
+    joined = F.expr("unhex(array_join(transform(array_sort(collect_list(struct(chunk, ids))), x -> hex(x.ids)), ''))")
     return traced.groupBy("row", "doc_id").agg(joined.alias("ids"), F.bool_and("exact").alias("exact")).select("doc_id", "exact", "ids")
 
 
