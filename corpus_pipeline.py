@@ -22,9 +22,9 @@ from vectide.llm.suffix_dedup import without_repeats
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or without a language for half of them go."""
+    """Documents go that have no letters, or for half of their letters no language that the corpus teaches."""
     prepared(spark)
-    return of_known_language(docs, min_score=0.5)
+    return of_known_language(docs, min_share=0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import SCHEMA, rows, text_of
 from vectide.llm import language_id, license_scan, ppm, quality_rules, rule_ensemble
@@ -259,7 +260,7 @@ def test_language_of_documents(docs, documents):
 def test_mixed_language_spans(spark, docs):
     rng = random.Random(3)
     x = text_of(rng, "en", 100) + " " + text_of(rng, "ru", 150) + " " + text_of(rng, "fr", 60)
-    model = language_id.learn(docs.where("lang is not null and text is not null and doc_id < 60").select("text", "lang"), 256)
+    model = language_id.learn(docs.where("lang is not null and text is not null and doc_id < 60").select("text", "lang"))
     r = language_id.labelled_spans(spark.createDataFrame([(1, x)], "doc_id long, text string"), model, 10.0).first()
     assert [s["lang"] for s in r["spans"]] == ["en", "ru", "fr"] and r["lang_pred"] == "ru"
     assert abs(r["spans"][0]["end_word"] - 100) <= 2 and r["spans"][-1]["end_word"] == 310
@@ -267,7 +268,7 @@ def test_mixed_language_spans(spark, docs):
 
 def test_viterbi_against_brute_force():
     rng = np.random.default_rng(1)
-    for states in (1, 2, 4):
+    for states in (1, 2, 4, 20):
         first = np.concatenate([[0], np.cumsum([0, 1, 63, 64, 65, 200, 0, 5])])
         s = rng.normal(size=(first[-1], states))
         got = language_id.viterbi(s, first, 1.5)
@@ -291,6 +292,65 @@ def test_language_edges(clashing, empty, documents, spark):
     assert language_id.language_ids(nobody).first()["lang_pred"] == "und"
 
 
+def test_all_letters_count(spark, docs):
+    """Whatever Unicode calls a letter, up to the last plane that has some."""
+    import unicodedata
+
+    points = [i for i in (0x41, 0xE9, 0x4E00, 0x31FFF, 0x3134A, 0x323AF, 0x2FA1D, 0x1F600, 0x32, 0xE0041) if unicodedata.category(chr(i)) != "Cn"]
+    frame = spark.createDataFrame([(i, chr(i), None) for i in points], SCHEMA.split(", source")[0]).unionByName(docs.select("doc_id", "text", "lang").where("doc_id < 20 and doc_id % 4 = 0").withColumn("doc_id", F.col("doc_id") + 10**7))
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.language_ids(frame).collect()}
+    for i in points:
+        assert (got[i] == "und") == (unicodedata.category(chr(i))[0] != "L"), hex(i)
+
+
+def test_more_languages_than_256(spark):
+    """Each of 300 labels has words of its own, and is found."""
+    rng = random.Random(4)
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for _ in range(300)]
+    make = lambda k: " ".join(rng.choice(words[k]) for _ in range(30))
+    docs = spark.createDataFrame([(600 * c + k, make(k), f"l{k:03}") for c in range(3) for k in range(300)], "doc_id long, text string, lang string").repartition(2)
+    rows = docs.where("doc_id < 1200")
+    model = language_id.learn(rows.select("text", "lang"))
+    assert len(model.languages) == 300
+    got = language_id.labelled_spans(docs.where("doc_id >= 1200"), model, 10.0).collect()
+    assert np.mean([r["lang_pred"] == f"l{r['doc_id'] - 1200:03}" for r in got]) > 0.95 and len(got) == 300
+
+
+def test_trigram_scores_by_brute_force(spark):
+    """The scores of words from trigram counts by dictionaries, slots and all, and the script penalty."""
+    texts = [("The cat, the hat", "en"), ("le chat \u00e0 l'eau", "fr"), ("кот и кит", "ru"), ("the dog", "en")]
+    model = language_id.learn(spark.createDataFrame(texts, "text string, lang string").repartition(2))
+    assert model.languages == ["en", "fr", "ru"]
+    slots, mask = 1 << model.bits, (1 << 64) - 1
+
+    def grams(word):
+        b = [c if c >= 128 else (c | 0x20 if chr(c).isalpha() else 0x20) for c in word.encode()]
+        at = lambda i: b[i] if 0 <= i < len(b) else 0x20
+        return [((at(i - 1) | at(i) << 8 | at(i + 1) << 16) + 1) * 0x9E3779B97F4A7C15 % (mask + 1) >> (64 - model.bits) for i in range(len(b)) if b[i] != 0x20]
+
+    counts = {x: Counter(g for text, lang in texts if lang == x for w in WORD.findall(text) for g in grams(w)) for x in model.languages}
+    total = {x: sum(c.values()) + 0.5 * slots for x, c in counts.items()}
+    v = language_id.view(*[np.frombuffer("The chat кит zzz 12".encode(), np.uint8), np.array([0, 23])], model.bits)
+    got = model.word_scores(v)
+    for row, word in zip(got, ["The", "chat", "кит", "zzz", "12"], strict=True):
+        want = np.zeros(3)
+        for g in grams(word):
+            p = np.array([math.log((counts[x][g] + 0.5) / total[x]) for x in model.languages])
+            want += p - p.max()
+        if any(c.isalpha() for c in word):
+            want += np.where([("а" <= word[0] <= "я") == (x == "ru") for x in model.languages], 0, -30)
+        assert row == pytest.approx(want, abs=1e-4)
+
+
+def test_rejection_by_share(spark, docs):
+    rng = random.Random(3)
+    mixed = " ".join(text_of(rng, x, 60) for x in ("en", "ru", "fr"))
+    rows = [(1, mixed, None), (2, "中文字符中文字符 the", None), (3, "中文 the cat sat on the mat", None), (4, "123", None)]
+    frame = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(i + 10**6, x, y) for i, x, y in rows], "doc_id long, text string, lang string"))
+    kept = {r["doc_id"] for r in language_id.of_known_language(frame).collect()}
+    assert {10**6 + 1, 10**6 + 3} <= kept and not {10**6 + 2, 10**6 + 4} & kept
+
+
 # --- operator 6 --------------------------------------------------------------------
 
 

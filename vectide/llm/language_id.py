@@ -13,8 +13,11 @@ text, and traced back per block, so a very long text costs no Python loop over
 its words.
 
 Trigram counts are taken over all training rows; a task sends at most one number
-per (slot, language), and the model has at most 2**23 numbers whatever the
-corpus. ``max_languages`` bounds the languages (the most frequent ones stay).
+per (slot, language). Every label is learned: the model has 2**17 slots a language
+up to 2**23 numbers, fewer slots a language beyond, and 2**12 at least, so its size
+depends on the number of labels, never on the corpus. With many languages slices are
+smaller, and the Viterbi pass goes along the words of all texts of a slice at once,
+as transfer matrices would grow with the square of their number.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; words
 without letters side with their neighbours; rows whose language is null or whose
@@ -44,6 +47,8 @@ STEP = 64
 # First code points of ranges of scripts (Unicode blocks), 0 for none.
 SCRIPTS = [(0x0, 1), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x700, 7), (0x900, 8), (0x980, 9), (0xA00, 10), (0xA80, 11), (0xB00, 12), (0xB80, 13), (0xC00, 14), (0xC80, 15), (0xD00, 16), (0xD80, 17), (0xE00, 18), (0xE80, 19), (0xF00, 20), (0x1000, 21), (0x10A0, 22), (0x1100, 23), (0x1200, 24), (0x1380, 25), (0x1780, 26), (0x1800, 27), (0x1E00, 1), (0x1F00, 2), (0x2000, 1), (0x2E80, 28), (0x3040, 29), (0x3100, 28), (0x3130, 23), (0x3190, 28), (0xAC00, 23), (0xD7B0, 0), (0xF900, 28), (0xFB50, 6), (0xFE00, 0), (0xFE70, 6), (0xFF00, 1), (0xFF66, 29), (0xFFA0, 23), (0x10000, 0), (0x20000, 28), (0x40000, 0)]
 N_SCRIPTS = 30
+#: What a switch of language costs, in natural logarithms of probability.
+PENALTY = 10.0
 
 FOLDED = np.full(256, 0x20, np.uint8)
 FOLDED[97:123] = np.arange(97, 123)
@@ -54,9 +59,7 @@ FOLDED[128:] = np.arange(128, 256)
 @cache
 def letter_table() -> np.ndarray:
     """Whether a code point is a letter."""
-    out = np.zeros(0x110000, bool)
-    out[:0x32000] = [unicodedata.category(chr(i))[0] == "L" for i in range(0x32000)]
-    return out
+    return np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)), bool, 0x110000)
 
 
 def letters_and_scripts(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,12 +117,49 @@ class Model:
     bits: int
     weights: np.ndarray  # (slots, languages): log probabilities
     allowed: np.ndarray  # (scripts, languages): 0, or a penalty where the language lacks the script
+    known: np.ndarray  # of each script, whether some language has it
+
+    @property
+    def slice_bytes(self) -> int:
+        """Bytes of text whose words are scored at once."""
+        return max(1 << 12, t.SLICE_BYTES * 16 // max(16, len(self.languages)))
 
     def word_scores(self, v: WordView) -> np.ndarray:
-        w = self.weights[v.slots]
-        total = np.zeros((len(w) + 1, w.shape[1]))
-        np.cumsum(w, axis=0, dtype=np.float64, out=total[1:])
-        return total[v.ends] - total[v.begins] + self.allowed[v.script] * (v.letters > 0)[:, None]
+        out = self.allowed[v.script] * (v.letters > 0)[:, None]
+        room, lo = max(1, (1 << 24) // len(self.languages)), 0
+        while lo < len(out):  # as many words at a time as have so many trigrams
+            hi = max(lo + 1, int(np.searchsorted(v.ends, v.begins[lo] + room, "right")))
+            w = self.weights[v.slots[v.begins[lo] : v.ends[hi - 1]]]
+            total = np.zeros((len(w) + 1, w.shape[1]))
+            np.cumsum(w, axis=0, dtype=np.float64, out=total[1:])
+            out[lo:hi] += total[v.ends[lo:hi] - v.begins[lo]] - total[v.begins[lo:hi] - v.begins[lo]]
+            lo = hi
+        return out
+
+
+#: States up to which the matrices of a scan are small.
+FEW = 16
+
+
+def viterbi_along(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
+    """viterbi() for many states: along the words, all documents side by side."""
+    n, states = scores.shape
+    counts = np.diff(first)
+    order = np.argsort(-counts, kind="stable")
+    longest = counts[order]
+    came, delta, own = np.zeros((n, states), np.int32), np.zeros((len(counts), states)), np.arange(states)
+    for k in range(int(longest[0])):
+        d = order[: int(np.searchsorted(-longest, -k))]  # documents with a word k
+        switched = delta[d].max(axis=1)[:, None] - penalty
+        change = switched > delta[d]
+        came[first[d] + k] = np.where(change, delta[d].argmax(axis=1)[:, None], own)
+        delta[d] = np.where(change, switched, delta[d]) + scores[first[d] + k]
+    out, state = np.zeros(n, np.int64), delta.argmax(axis=1)
+    for k in range(int(longest[0]) - 1, -1, -1):
+        d = order[: int(np.searchsorted(-longest, -k))]
+        out[first[d] + k] = state[d]
+        state[d] = came[first[d] + k, state[d]]
+    return out
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
@@ -127,6 +167,8 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     n, states = scores.shape
     if not n or states == 1:
         return np.zeros(n, np.int64)
+    if states > FEW:
+        return viterbi_along(scores, first, penalty)
     counts = np.diff(first)
     blocks = -(-counts // STEP)
     block_first = np.concatenate([[0], np.cumsum(blocks)])
@@ -176,13 +218,12 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     return out.reshape(-1)[where]
 
 
-def learn(rows: DataFrame, max_languages: int) -> Model | None:
+def learn(rows: DataFrame) -> Model | None:
     """A model from rows(text, lang); counts come from all of them."""
-    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    languages = sorted(r["lang"] for r in found)
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     if not languages:
         return None
-    bits = min(17, 23 - (len(languages) - 1).bit_length())
+    bits = max(12, min(17, 23 - (len(languages) - 1).bit_length()))
     number = {x: i for i, x in enumerate(languages)}
     width = len(languages)
     schema = pa.schema([("slot", pa.int32()), ("language", pa.int32()), ("n", pa.int64())])
@@ -203,7 +244,7 @@ def learn(rows: DataFrame, max_languages: int) -> Model | None:
         at = np.flatnonzero(both)
         yield batch(schema, (at // width).astype(np.int32), (at % width).astype(np.int32), both[at])
 
-    counts = rows.select("text", "lang").mapInArrow(lean(count), "slot int, language int, n long").groupBy("slot", "language").agg(F.sum("n").alias("n")).toPandas()  # 2**23 rows at most
+    counts = rows.select("text", "lang").mapInArrow(lean(count), "slot int, language int, n long").groupBy("slot", "language").agg(F.sum("n").alias("n")).toPandas()  # a row per slot and language at most
     table = np.zeros(((1 << bits) + N_SCRIPTS, width))
     table[counts["slot"].to_numpy(np.int64), counts["language"].to_numpy(np.int64)] = counts["n"].to_numpy(np.float64)
     grams, scripts = table[: 1 << bits], table[1 << bits :]
@@ -211,7 +252,7 @@ def learn(rows: DataFrame, max_languages: int) -> Model | None:
     weights -= weights.max(axis=1, keepdims=True)  # what all languages share decides nothing
     used = scripts >= 0.01 * np.maximum(1, scripts.sum(axis=0))
     allowed = np.where(used | ~used.any(axis=1, keepdims=True), 0.0, -30.0)
-    return Model(languages, bits, weights.astype(np.float32), allowed)
+    return Model(languages, bits, weights.astype(np.float32), allowed, used.any(axis=1))
 
 
 def shares(b: np.ndarray, offsets: np.ndarray, model: Model, penalty: float) -> tuple[np.ndarray, np.ndarray, WordView, np.ndarray, np.ndarray]:
@@ -238,7 +279,7 @@ def labelled_spans(docs: DataFrame, model: Model | None, penalty: float) -> Data
         width = len(names) - 1
         for rb in batches:
             parts: list[tuple] = []
-            for lo, hi, b, offsets in t.slices(rb.column(1)):
+            for lo, hi, b, offsets in t.slices(rb.column(1), model.slice_bytes if model else t.SLICE_BYTES):
                 n = hi - lo
                 if not width:
                     z = np.zeros(0, np.int64)
@@ -261,29 +302,32 @@ def labelled_spans(docs: DataFrame, model: Model | None, penalty: float) -> Data
     return docs.mapInArrow(lean(run), "doc_id long, lang_pred string, score double, n_spans long, spans array<struct<start_word: long, end_word: long, lang: string>>")
 
 
-def language_ids(docs: DataFrame, folds: int = 4, held_out: int = 2, penalty: float = 10.0, max_languages: int = 256) -> DataFrame:
+def language_ids(docs: DataFrame, folds: int = 4, held_out: int = 2, penalty: float = PENALTY) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, n_spans, spans) of docs(doc_id, text, lang), learned from the other folds."""
     fold = F.coalesce(crc_mod("doc_id", folds) == held_out, F.lit(False))
     rows = docs.where(~fold & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    found = labelled_spans(docs, learn(rows, max_languages), penalty)
+    found = labelled_spans(docs, learn(rows), penalty)
     return found.withColumn("held_out", fold).select("doc_id", "held_out", "lang_pred", "score", "n_spans", "spans")
 
 
-def of_known_language(docs: DataFrame, min_score: float = 0.5, penalty: float = 10.0, max_languages: int = 256) -> DataFrame:
-    """The rows of docs, all columns, whose text is in one of the languages of their ``lang`` column, which all of them teach.
+def of_known_language(docs: DataFrame, min_share: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose text is in the languages of their ``lang`` column, which all of them teach.
 
-    A text is rejected if it has no letters or if no language covers ``min_score`` of them.
+    A text is rejected if it has no letters, or if its spans in known languages have less than ``min_share`` of them: words
+    in a script that no language was learned with are in none. Texts of several known languages stay.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    shared, at = docs.sparkSession.sparkContext.broadcast(learn(rows, max_languages)), docs.columns.index("text")
+    shared, at = docs.sparkSession.sparkContext.broadcast(learn(rows)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for rb in batches:
             keep = np.zeros(rb.num_rows, bool)
-            for lo, hi, b, offsets in t.slices(rb.column(at)) if model else ():
-                best, score = shares(b, offsets, model, penalty)[:2]
-                keep[lo:hi] = (best >= 0) & (score >= min_score)
+            for lo, hi, b, offsets in t.slices(rb.column(at), model.slice_bytes) if model else ():
+                best, _, v, doc, label = shares(b, offsets, model, PENALTY)
+                inside = model.known[v.script] & (model.allowed[v.script, label] == 0)
+                fits = np.bincount(doc, v.letters * inside, hi - lo)
+                keep[lo:hi] = (best >= 0) & (fits >= min_share * np.bincount(doc, v.letters, hi - lo))
             yield rb.filter(pa.array(keep))
 
     return docs.mapInArrow(lean(run), docs.schema)
