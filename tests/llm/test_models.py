@@ -231,14 +231,126 @@ def test_rules_without_labels(docs, empty, spark):
     assert quality_rules.quality_rules(empty, none).count() == 0
 
 
-def test_compiled_rules_agree():
+def test_compiled_rules_agree(spark):
+    """The compiled expression gives what the rules give one by one."""
     rng = np.random.default_rng(0)
     x = rng.random((500, len(rule_ensemble.STATISTICS)))
     y = ((x[:, 0] > 0.5) & (x[:, 3] <= 0.7)).astype(int)
-    rules, bias = rule_ensemble.fit(x, y)
-    assert 0 < len(rules) <= 60
-    p = 1 / (1 + np.exp(-(bias + sum(w * rule_ensemble.holds(r, x) for r, w in rules))))
-    assert np.mean((p > 0.5) == y) > 0.97
+    rules, bias = model = rule_ensemble.fit(x, y)
+    p = [1 / (1 + math.exp(-(bias + sum(w for r, w in rules if all((row[f] > cut) == greater for f, greater, cut in r))))) for row in x]
+    assert rules and np.mean((np.array(p) > 0.5) == y) > 0.97
+    frame = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(x)], "i long, " + ", ".join(f"{n} double" for n in rule_ensemble.STATISTICS))
+    got = {r["i"]: r["p"] for r in frame.select("i", rule_ensemble.compiled(model).alias("p")).collect()}
+    assert [got[i] for i in range(500)] == pytest.approx(p, abs=1e-12)
+
+
+def test_rules_are_paths_of_trees():
+    """Every rule is a conjunction along a path, and one split finds the best cut by brute force."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.random((60, 2)), 2)
+    y = (x[:, 1] > 0.37).astype(float)
+    rules = rule_ensemble.tree_rules(x, y, trees=1, depth=1)
+    assert len(rules) == 2
+    (f, greater, cut), (f2, greater2, cut2) = rules[0][0], rules[1][0]
+    assert f == f2 == 1 and cut == cut2 and greater != greater2
+    g, h = y.mean() - y, np.full(60, y.mean() * (1 - y.mean()))
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    gains = [score(x[:, k] <= c) + score(x[:, k] > c) for k in range(2) for c in np.unique(x[:, k])[:-1]]
+    assert score(x[:, 1] <= cut) + score(x[:, 1] > cut) == pytest.approx(max(gains))
+    deep = rule_ensemble.tree_rules(x, y, trees=3, depth=3)
+    assert all(1 <= len(r) <= 3 for r in deep) and {r[:-1] for r in deep if len(r) > 1} <= set(deep)
+
+
+def brute_statistics(text):
+    x = text or ""
+    w, raw = WORD.findall(x), x.encode()
+    full = [line for line in x.split("\n") if WORD.search(line)]
+    size = sum(len(v.encode()) for v in w)
+    upper = sum(65 <= c < 91 for c in raw)
+    letters = upper + sum(97 <= c < 123 or c >= 128 for c in raw)
+    grams = Counter(zip(w, w[1:], w[2:]))
+    per = lambda a, n: a / max(1, n)
+    return [
+        math.log1p(len(w)),
+        per(size, len(w)),
+        per(sum(len(v.encode()) > 12 for v in w), len(w)),
+        per(sum(c in b"#*$%&|<>" for c in raw), size),
+        per(upper, letters),
+        per(sum(48 <= c < 58 for c in raw), size),
+        per(sum(c in b".,;:!?'\"()[]{}-_/\\@^~`+=" for c in raw), size),
+        per(raw.count(b"!"), len(w)),
+        per(sum(c >= 128 for c in raw), size),
+        1 - per(len(w) - len(set(w)), len(w)),
+        per(sum(n for n in grams.values() if n > 1), len(w)),
+        per(len(full) - len(set(full)), len(full)),
+        per(len(w), len(full)),
+        per(sum(line[-1] in ".!?" for line in full), len(full)),
+        per(sum("A" <= v[0] <= "Z" for v in w), len(w)),
+    ]
+
+
+def test_statistics(docs, documents):
+    got = sorted(([r["doc_id"] or -1, *(r[n] for n in rule_ensemble.STATISTICS)] for r in rule_ensemble.with_statistics(docs).collect()))
+    want = sorted([i or -1, *brute_statistics(x)] for i, x, *_ in documents)
+    assert np.array(got) == pytest.approx(np.array(want), abs=1e-9)
+
+
+def brute_margin(text, model):
+    """A mean of the weights of each n-gram family, by slots worked out one by one."""
+    from vectide.llm import _text as t
+
+    raw, mask, out = (text or "").encode(), (1 << 64) - 1, model.bias
+    for n in (3, 5):
+        slots = [((int.from_bytes(raw[i : i + n], "little") + n) * 0x9E3779B97F4A7C15 & mask) >> (64 - quality_rules.BITS) for i in range(len(raw) - n + 1)]
+        out += sum(float(model.weights[1][s]) for s in slots) / max(1, len(slots))
+    w = WORD.findall(text or "")
+    h = t.hash_strings(w) if w else np.zeros(0, np.uint64)
+    for n in (1, 2):
+        grams = [int(h[i]) if n == 1 else int(t.rolled(h[i : i + 2], np.array([0]), np.array([2]), t.WORDS)[0]) for i in range(len(w) - n + 1)]
+        out += sum(float(model.weights[0][g >> (64 - quality_rules.BITS)]) for g in grams) / max(1, len(grams))
+    return out
+
+
+def test_probability_and_verdict(docs, documents, graded, monkeypatch):
+    """Probabilities by brute force from the fitted weights, and the verdict at the threshold."""
+    learned, labels, _ = graded
+    texts, y = quality_rules.labelled_sample(learned, labels, "quality", 200)
+    model = quality_rules.fit(texts, y)
+    monkeypatch.setattr(quality_rules, "fit", lambda *_: model)
+    got = sorted((r["doc_id"] or -1, r["probability"], r["base_failed"], r["kept"]) for r in quality_rules.quality_rules(docs, labels, threshold=0.6).collect())
+    want = sorted((i or -1, 1 / (1 + math.exp(-min(40, max(-40, model.slope * brute_margin(x, model) + model.shift))))) for i, x, *_ in documents)
+    assert [g[0] for g in got] == [x[0] for x in want]
+    assert [g[1] for g in got] == pytest.approx([x[1] for x in want], abs=1e-5)
+    assert all(kept == (not failed and p >= 0.6) for _, p, failed, kept in got)
+
+
+def test_calibration():
+    """Platt's sigmoid has the least log loss on smoothed targets among its neighbours."""
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=300)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(2 * m - 0.5)))).astype(float)
+    slope, shift = quality_rules.platt(m, y)
+    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+
+    def loss(a, b):
+        p = 1 / (1 + np.exp(-(a * m + b)))
+        return -(target * np.log(p) + (1 - target) * np.log(1 - p)).sum()
+
+    assert 1 < slope < 3
+    assert all(loss(slope, shift) <= loss(slope + da, shift + db) + 1e-6 for da in (-0.05, 0, 0.05) for db in (-0.05, 0, 0.05))
+
+
+def test_contradictory_labels(graded, spark):
+    """An id with both labels teaches nothing, whatever the order of the rows; extra columns and clashing names change nothing."""
+    docs, labels, _ = graded
+    both = labels.unionAll(spark.createDataFrame([(2, 0, 0), (4, 0, 0), (5, 1, 0)], labels.schema))
+    wide = docs.withColumns({n: F.lit(1) for n in ("label", "score", "probability", "n_words", "kept", "log_words", "most")})
+    for parts in (1, 4):
+        got = {r["doc_id"]: r["label"] for r in quality_rules.agreed(both.repartition(parts), "quality").collect()}
+        assert not {2, 4, 5} & set(got) and got[7] == 0 and got[8] == 1 and got[10] == 1
+    for f in (quality_rules.quality_rules, rule_ensemble.quality_scores):
+        rows = [sorted(map(str, f(d, x).collect())) for d, x in ((docs, both.repartition(1)), (wide, both.repartition(4)))]
+        assert rows[0] == rows[1]
 
 
 # --- operator 5 -------------------------------------------------------------------

@@ -13,7 +13,8 @@ base rules and the scores cover all rows and whole texts.
 
 Edge cases: a null text counts as empty; a text without words fails the base
 rules; rows with null ids or without labels are scored like any other; labels
-that are null or whose document is missing are not learned from; without usable
+that are null, whose document is missing or that contradict one another for an id
+are not learned from; without usable
 labels of both kinds the model keeps everything that passes the base rules. An
 empty table gives no rows; repeated rows are kept; extra columns are ignored.
 """
@@ -192,10 +193,15 @@ def platt(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a[0] / scale), float(a[1])
 
 
+def agreed(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of the ids whose labels 0 and 1 agree."""
+    usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    return usable.agg(F.min(F.col(label).cast("int")).alias("label"), F.max(F.col(label).cast("int")).alias("most")).where("label = most").drop("most")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> tuple[list[str], np.ndarray]:
     """The texts and labels of at most ``sample`` labelled rows, those with the smallest hash of their id."""
-    picked = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null")
-    picked = picked.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    picked = agreed(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").limit(sample)
     found = rows.select("text", "label").toArrow()
     return [x or "" for x in found["text"].to_pylist()], found["label"].to_numpy().astype(np.int64)

@@ -4,17 +4,18 @@
 2. Boosted trees of small depth are grown on a bounded sample of labelled rows;
    every path from a root to a node is a rule, a conjunction of conditions
    ``statistic <= cut`` or ``statistic > cut``.
-3. A lasso-penalised logistic regression over the rules' truth values keeps few.
+3. A lasso-penalised logistic regression over the rules' truth values keeps few;
+   all of those with a weight stay.
 4. The rules that stay are compiled into one Spark column expression, which
    scores all rows inside whole-stage code.
 
 The fit takes at most ``sample`` labelled rows, those with the smallest hash of
 their id; statistics and scores cover all rows and whole texts. The compiled
-expression has at most ``max_rules`` terms.
+expression has a term for each rule with a weight, some 14 a tree at most.
 
 Edge cases: a null text counts as empty and gets a score like any other; rows
-with null ids are scored; null labels and labels without a document are not
-learned from; without labels of both kinds the score is the share of label 1
+with null ids are scored; null labels, labels without a document and labels that
+contradict one another for an id are not learned from; without labels of both kinds the score is the share of label 1
 (0.5 without any). An empty table gives no rows; repeated rows are kept; extra
 columns are ignored.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from vectide.llm import _text as t
 from vectide.llm._spark import batch, crc_mod, lean
-from vectide.llm.quality_rules import SYMBOL, repeats, sigmoid
+from vectide.llm.quality_rules import SYMBOL, agreed, repeats, sigmoid
 
 #: What a rule can ask about, in the order of statistics().
 STATISTICS = ["log_words", "word_bytes", "long_words", "symbols", "upper", "digits", "marks", "shouts", "non_ascii", "distinct_words", "repeated_grams", "repeated_lines", "words_per_line", "ended_lines", "title_words"]
@@ -179,7 +180,7 @@ def lasso_logistic(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = 40
     return w, bias
 
 
-def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, max_rules: int = 60) -> tuple[list[tuple[tuple[Condition, ...], float]], float]:
+def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> tuple[list[tuple[tuple[Condition, ...], float]], float]:
     """([(rule, weight)], bias)."""
     y = y.astype(np.float64)
     if not len(y) or len(set(y.tolist())) < 2:
@@ -190,7 +191,7 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, max_rules: int = 60
         return [], float(np.log(y.mean() / (1 - y.mean())))
     r = np.stack([holds(rule, x) for rule in rules], axis=1).astype(np.float64)
     w, _ = lasso_logistic(r, y, penalty)
-    kept = [i for i in np.argsort(-np.abs(w), kind="stable")[:max_rules] if w[i]]
+    kept = np.flatnonzero(w).tolist()
     if not kept:
         return [], float(np.log(y.mean() / (1 - y.mean())))
     w, bias = lasso_logistic(r[:, kept], y, penalty)
@@ -210,8 +211,7 @@ def compiled(model: tuple[list[tuple[tuple[Condition, ...], float]], float]) ->
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 4, held_out: int = 2, sample: int = 20_000) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs(doc_id, text); rows of the held-out fold are never learned from."""
     fold = F.coalesce(crc_mod("doc_id", folds) == held_out, F.lit(False))
-    picked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(~fold)
-    picked = picked.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    picked = agreed(labels, "quality").where(~fold).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = texts.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")  # sample rows at most
     rows = with_statistics(known).join(F.broadcast(picked), "doc_id").orderBy("doc_id", *STATISTICS).limit(sample).toPandas()
