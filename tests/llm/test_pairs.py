@@ -296,6 +296,6 @@ def test_leaks_of_empty(empty, docs, spark):
 def test_windows_of_an_item():
     text = "0123456789abcdefghij" * 12
     m = Matcher([(1, text)], 9, 0.08, 128)
-    assert ["".join(map(chr, c)) for c in m.codes] == windows_of(text, 128) and m.total == {0: len(m.codes)}
+    assert ["".join(map(chr, c)) for c in m.padded] == windows_of(text, 128) and m.total == {0: len(m.start)}
     # 3 edits in 30 characters leave no 8-gram for certain, so shorter ones are taken
     assert Matcher([(1, "x" * 30)], 8, 0.1, 64).q.tolist() == [7]

@@ -71,16 +71,16 @@ def qgrams(code: np.ndarray, q: int) -> np.ndarray:
 
 
 class Grams:
-    """The q-grams of one length of some windows."""
+    """The q-grams of one length of some items."""
 
     def __init__(self, q: int, number: np.ndarray, codes: list[np.ndarray]):
         self.q = q
         grams = [qgrams(c, q) for c in codes]
         flat = np.concatenate(grams)
-        window_of = np.repeat(number.astype(np.int32), [len(g) for g in grams])
+        item_of = np.repeat(number.astype(np.int32), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams])
         order = np.argsort(flat, kind="stable")
-        self.window_of, self.place = window_of[order], place[order]
+        self.item_of, self.place = item_of[order], place[order]
         keys, self.first, self.n = np.unique(flat[order], return_index=True, return_counts=True)
         self.table = t.HashTable(keys)
         self.filter = np.zeros(1 << FILTER_BITS, bool)
@@ -91,47 +91,61 @@ class Grams:
         return (keys * U(0xD1342543DE82EF95) >> U(64 - FILTER_BITS)).astype(np.int64)
 
     def shared(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the text, window, place in the window) of every q-gram that text and windows share."""
+        """(place in the text, item, place in the item) of every q-gram that text and items share."""
         grams = qgrams(code, self.q)
         at = np.flatnonzero(self.filter[self._slot(grams)])
         row = self.table.find(grams[at])
         at, row = at[row >= 0], row[row >= 0]
         n = self.n[row]
         entry = np.repeat(self.first[row] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return np.repeat(at, n), self.window_of[entry].astype(np.int64), self.place[entry].astype(np.int64)
+        return np.repeat(at, n), self.item_of[entry].astype(np.int64), self.place[entry].astype(np.int64)
+
+
+def banded(what: np.ndarray, diagonal: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hit, key of what and band) for every band that a hit on a diagonal lies in. Bands are STEP + k wide and overlap by k."""
+    band, rest = diagonal // STEP, diagonal % STEP
+    hits, keys = [np.arange(len(what))], [what << 40 | band]
+    for back in range(1, 1 + int(-(-k.max(initial=0) // STEP))):
+        also = np.flatnonzero(rest + (back - 1) * STEP < k)
+        hits.append(also)
+        keys.append(what[also] << 40 | (band[also] - back))
+    return np.concatenate(hits), np.concatenate(keys)
 
 
 class Matcher:
     """Finds the windows of some benchmark items in texts."""
 
     def __init__(self, items: list[tuple[int, str]], q: int, rate: float, window: int):
-        self.codes, self.item, self.total = [], [], {}
+        self.ids, self.total, codes, starts = [i for i, _ in items], {}, {}, {}
+        self.step = max(1, window // 4)
         for number, (_, text) in enumerate(items):
             code, _ = normalised([text])
             code = code[1:] if len(code) and code[0] == 32 else code
             code = code[:-1] if len(code) and code[-1] == 32 else code
             if not len(code):
                 continue
-            starts = list(range(0, max(1, len(code) - window + 1), max(1, window // 4)))
-            if starts[-1] + window < len(code):
-                starts.append(len(code) - window)
-            self.total[number] = len(starts)
-            for s in starts:
-                self.codes.append(code[s : s + window])
-                self.item.append(number)
-        self.ids = [i for i, _ in items]
-        self.m = np.array([len(c) for c in self.codes], np.int64)
-        self.k = np.minimum((self.m * rate).astype(np.int64), self.m - 1)
-        #: the length of each window's q-grams, short enough that an occurrence shares one of them at least
+            starts[number] = list(range(0, max(1, len(code) - window + 1), self.step))
+            if starts[number][-1] + window < len(code):
+                starts[number].append(len(code) - window)
+            self.total[number] = len(starts[number])
+            codes[number] = code
+        n = len(items)
+        # the windows of an item are of one length; those of all items are numbered one after the other
+        self.m = np.array([min(window, len(codes.get(i, ()))) for i in range(n)], np.int64)
+        self.k = np.maximum(0, np.minimum((self.m * rate).astype(np.int64), self.m - 1))
+        #: the length of each item's q-grams, short enough that an occurrence shares one of them at least
         self.q = np.minimum(q, self.m // (self.k + 1))
         self.least = self.m + 1 - self.q * (self.k + 1)
-        self.grams = [Grams(int(x), np.flatnonzero(self.q == x), [self.codes[i] for i in np.flatnonzero(self.q == x)]) for x in np.unique(self.q)]
-        size = int(self.m.max()) if len(self.m) else 0
+        self.grams = [Grams(int(x), number, [codes[i] for i in number.tolist()]) for x in np.unique(self.q) if x for number in [np.flatnonzero(self.q == x)]]
+        self.first = np.concatenate([[0], np.cumsum([len(starts.get(i, ())) for i in range(n)])]).astype(np.int64)
+        self.start = np.array([x for i in range(n) for x in starts.get(i, ())], np.int64)
+        self.item = np.repeat(np.arange(n), np.diff(self.first))
+        size, longest = int(self.m.max(initial=0)), max(map(len, codes.values()), default=0)
         #: diagonals between those of two texts, so that no band has both
-        self.gap = -(-(size + 2 * STEP + 2 * int(self.k.max(initial=0))) // STEP) * STEP
-        self.padded = np.zeros((len(self.codes), size), np.uint32)
-        for row, c in zip(self.padded, self.codes, strict=True):
-            row[: len(c)] = c
+        self.gap = -(-(longest + 2 * STEP + 2 * int(self.k.max(initial=0))) // STEP) * STEP
+        self.padded = np.zeros((len(self.start), size), np.uint32)
+        for row, i, x in zip(self.padded, self.item.tolist(), self.start.tolist(), strict=True):
+            row[: self.m[i]] = codes[i][x : x + self.m[i]]
 
     def find(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text number, item number, windows found, fewest edits, place of the first) for every item found in a text."""
@@ -139,61 +153,86 @@ class Matcher:
         hits = [g.shared(code) for g in self.grams if len(code) >= g.q]
         if not hits:
             return
-        at, w, place = (np.concatenate(x) for x in zip(*hits, strict=True))
+        at, item, place = (np.concatenate(x) for x in zip(*hits, strict=True))
         text = np.searchsorted(offsets, at, "right") - 1
         diagonal = at - place + text * self.gap + (1 << 31)
-        k = self.k[w]
-        band, rest = diagonal // STEP, diagonal % STEP
-        # a band is STEP + k diagonals wide and overlaps the next by k; k may span several steps
-        keys, texts_of = [w << 33 | band], [text]
-        for back in range(1, 1 + int(-(-(self.k.max()) // STEP))):
-            also = rest + (back - 1) * STEP < k
-            keys.append(w[also] << 33 | (band[also] - back))
-            texts_of.append(text[also])
-        found, first, count = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
-        w, band, text = found >> 33, found & ((1 << 33) - 1), np.concatenate(texts_of)[first]
-        ok = count >= self.least[w]
+        # a window has no more q-grams in a band than its item: hits in too poor bands of items go
+        hit, key = banded(item, diagonal, self.k[item])
+        _, number, count = np.unique(key, return_inverse=True, return_counts=True)
+        hit = np.unique(hit[count[number] >= self.least[item[hit]]])
+        at, item, place, text, diagonal = at[hit], item[hit], place[hit], text[hit], diagonal[hit]
+        # the windows that a hit lies in: those that begin every `step`, and the last
+        of, w = [], []
+        regular = self.first[item + 1] - self.first[item]
+        for back in range(-(-int(self.m.max()) // self.step) + 1):
+            j = np.minimum(place // self.step, regular - 1) - back
+            of.append(np.flatnonzero(j >= 0))
+            w.append((self.first[item] + j)[of[-1]])
+        of, w = np.concatenate(of), np.concatenate(w)
+        last = self.first[item + 1] - 1  # it may begin off the steps, so that a place before it lies in it too
+        of, w = np.concatenate([of, np.arange(len(item))]), np.concatenate([w, last])
+        inside = (self.start[w] <= place[of]) & (place[of] + self.q[item[of]] <= self.start[w] + self.m[item[of]])
+        pair = np.unique((of * (len(self.start) + 1) + w)[inside])
+        of, w = pair // (len(self.start) + 1), pair % (len(self.start) + 1)
+        hit, key = banded(w, diagonal[of] + self.start[w], self.k[item[of]])
+        found, first, count = np.unique(key, return_index=True, return_counts=True)
+        w, band, text = found >> 40, found & ((1 << 40) - 1), text[of[hit[first]]]
+        ok = count >= self.least[self.item[w]]
         w, band, text = w[ok], band[ok], text[ok]
         best: dict[tuple[int, int], list] = {}
-        for i in range(0, len(w), 1 << 16):  # the alignments of so many bands are in memory at once
-            v, x = w[i : i + (1 << 16)], text[i : i + (1 << 16)]
-            low = band[i : i + (1 << 16)] * STEP - (1 << 31) - x * self.gap
+        for i in range(0, len(w), 1 << 14):  # the alignments of so many bands are in memory at once
+            v, x = w[i : i + (1 << 14)], text[i : i + (1 << 14)]
+            low = band[i : i + (1 << 14)] * STEP - (1 << 31) - x * self.gap
             edits, end = self.align(code, v, low, offsets[x], offsets[x + 1] - 1)
-            ok = edits <= self.k[v]
+            ok = edits <= self.k[self.item[v]]
             for x1, v1, e, z in zip(x[ok].tolist(), v[ok].tolist(), edits[ok].tolist(), end[ok].tolist(), strict=True):
-                place = max(0, z - int(self.m[v1]) - int(offsets[x1]))
-                b = best.setdefault((x1, self.item[v1]), [set(), e, place])
+                place = max(0, z - int(self.m[self.item[v1]]) - int(offsets[x1]))
+                b = best.setdefault((x1, int(self.item[v1])), [set(), e, place])
                 b[0].add(v1)
                 b[1], b[2] = min(b[1], e), min(b[2], place)
-        for (x, item), (windows, e, z) in sorted(best.items()):
-            yield x, item, len(windows), e, z
+        for (x, number), (windows, e, z) in sorted(best.items()):
+            yield x, number, len(windows), e, z
 
     def align(self, code: np.ndarray, w: np.ndarray, low: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Edits and end of the best occurrence of windows w on diagonals low - k .. low + STEP + 2k within code[begin:stop], all at once."""
-        k, m, size = self.k[w], self.m[w], int(self.m[w].max())
-        kmax = int(k.max())
+        """Edits and end of the best occurrence of windows w on diagonals low - k .. low + STEP + 2k within code[begin:stop], all at once; those with more than k edits may be given up."""
+        k, m = self.k[self.item[w]], self.m[self.item[w]]
+        kmax, size = int(k.max()), int(m.max())
         width = STEP + 3 * kmax + 1
         left = low - kmax
-        slope = np.arange(width)
+        edits, end, rows = np.full(len(w), NEVER), np.zeros(len(w), np.int64), np.arange(len(w))
+        place = left[:, None] + np.arange(size + width)
+        # what lies outside the text is a 0, which no window has
+        chars = np.where((place >= begin[:, None]) & (place < stop[:, None]), code[np.clip(place, 0, len(code) - 1)], np.uint32(0))
+        slope = np.arange(width, dtype=np.int32)
         # column c after i characters of the window stands for the place left + c + i of the text
-        d = np.where((left[:, None] + slope >= begin[:, None]) & (left[:, None] + slope <= stop[:, None]), 0, NEVER).astype(np.int32)
-        edits, end = np.full(len(w), NEVER), np.zeros(len(w), np.int64)
-        up = np.empty_like(d)
+        d = np.where((place[:, :width] >= begin[:, None]) & (place[:, :width] <= stop[:, None]), 0, NEVER).astype(np.int32)
+        window = self.padded[w]
         for i in range(1, size + 1):
-            place = left[:, None] + slope + (i - 1)
-            inside = (place >= begin[:, None]) & (place < stop[:, None])
-            char = code[np.clip(place, 0, len(code) - 1)]
-            cost = np.where(inside, char != self.padded[w, i - 1][:, None], NEVER)
-            up[:, :-1] = d[:, 1:] + 1
-            up[:, -1] = NEVER
-            d = np.minimum(np.minimum(d + cost, up), NEVER)
-            # a character of the text is skipped only inside the text
-            apart = np.cumsum(~inside, axis=1) * (4 * NEVER)
-            d = np.minimum(np.minimum.accumulate(d - slope - apart, axis=1) + slope + apart, NEVER).astype(np.int32)
+            char = chars[:, i - 1 : i - 1 + width]
+            up = d[:, 1:] + 1
+            d = d + (char != window[:, i - 1 : i])
+            outside = char == 0
+            if outside.any():
+                d[outside] = NEVER
+                np.minimum(d[:, :-1], up, out=d[:, :-1])
+                # a character of the text is skipped only inside the text
+                apart = np.cumsum(outside, axis=1) * (4 * NEVER) + slope
+                d = np.minimum(np.minimum.accumulate(d - apart, axis=1) + apart, NEVER).astype(np.int32)
+            else:
+                np.minimum(d[:, :-1], up, out=d[:, :-1])
+                d -= slope
+                np.minimum.accumulate(d, axis=1, out=d)
+                d += slope
             done = np.flatnonzero(m == i)
             if len(done):
                 c = d[done].argmin(axis=1)
-                edits[done], end[done] = d[done, c], left[done] + c + i
+                edits[rows[done]], end[rows[done]] = d[done, c], left[done] + c + i
+            if i % 8 == 0:  # edits only grow
+                alive = (m > i) & (d.min(axis=1) <= k)
+                if 4 * alive.sum() < 3 * len(alive):
+                    rows, left, m, k, d, chars, window = (x[alive] for x in (rows, left, m, k, d, chars, window))
+                    if not len(rows):
+                        break
         return edits, end
 
 
