@@ -17,7 +17,7 @@ has. For comparison each text also gets the smoothed unigram score of its words.
 
 Scale. Nothing of the model is dropped: it has every n-gram of the training texts.
 Texts are dealt out to homes and contexts of three bytes to parts, both as many as
-the input needs. A home sends each part the distinct n-grams of its texts that fall
+the input needs; texts, n-grams and costs travel in compressed blocks. A home sends each part the distinct n-grams of its texts that fall
 to the part, with their counts in training texts; the part has whole sub-tries of
 its contexts, works out the cost of every n-gram it was sent and answers each home;
 a home then scores its texts by look-up among the answers to its own n-grams. So a
@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,8 +77,13 @@ def streams(column: pa.Array, order: int, limit: int = t.SLICE_BYTES // 2) -> It
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys of (keys, counts) with their sums."""
-    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
+    keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]).astype(np.int64)
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n[order], first)
 
 
 def corpus_counts(docs: DataFrame, order: int) -> DataFrame:
@@ -236,13 +242,73 @@ def trained(counts: DataFrame, order: int, max_nodes: int, scratch: Scratch) ->
     return Trie([(k.view(np.uint64)[o], c[o]) for k, c, o in ((key[level == j], n[level == j], np.argsort(key[level == j])) for j in range(order + 1))])
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Values by planes of bytes, which compress well where neighbours are near."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes() if len(values) else b""
+
+
 def packed(values: np.ndarray) -> bytes:
-    """Values of eight bytes by planes of bytes, which compress well where neighbours are near."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Values of eight bytes, compressed."""
+    raw = planes(values)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpacked(data: bytes, kind: type = np.uint64) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+    size = int.from_bytes(data[:8], "little")
+    raw = pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True)
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def coded(values: np.ndarray) -> bytes:
+    """packed() for values of which many are equal: the distinct ones and their numbers."""
+    distinct, number = np.unique(values, return_inverse=True)
+    table = packed(distinct)
+    return len(table).to_bytes(8, "little") + table + packed(number.astype(np.uint32))
+
+
+def decoded(data: bytes, kind: type = np.float64) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return unpacked(data[8 : 8 + size], kind)[unpacked(data[8 + size :], np.uint32)]
+
+
+#: Bytes of text that a task gathers, by home, before it sends them.
+GATHER_BYTES = 1 << 24
+TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("scored", pa.bool_()), ("trains", pa.bool_())])
+
+
+def gathered(texts: DataFrame) -> DataFrame:
+    """(home, texts) of texts(home, doc_id, text, scored, trains): rows of a home in compressed blocks."""
+    schema = pa.schema([("home", pa.int32()), ("texts", pa.binary())])
+
+    def send(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).sort_by("home").combine_chunks()
+        homes = rows.column(0).to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], homes[1:] != homes[:-1]]))
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(homes)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, TEXTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows.slice(lo, hi - lo).drop_columns("home").cast(TEXTS))
+            yield batch(schema, [int(homes[lo])], [sink.getvalue().to_pybytes()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for rb in batches:
+            if rb.num_rows:
+                held.append(rb)
+                size += rb.nbytes
+            if size > GATHER_BYTES:
+                yield from send(held)
+                held, size = [], 0
+        if held:
+            yield from send(held)
+
+    return texts.select("home", "doc_id", "text", "scored", "trains").mapInArrow(lean(run), "home int, texts binary")
+
+
+def rows_of(block: bytes) -> pa.RecordBatch:
+    """(doc_id, text, scored, trains) of one of the blocks."""
+    return pa.ipc.open_stream(block).read_all().combine_chunks().to_batches()[0]
 
 
 def shorter(grams: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,7 +321,7 @@ def part_of(grams: np.ndarray, split: int, parts: int) -> np.ndarray:
 
 
 def sent(texts: DataFrame, order: int, split: int, parts: int) -> DataFrame:
-    """(part, home, grams, counts) of texts(home, text, trains): the distinct n-grams of a home that fall to a part, and how often training texts have them."""
+    """(part, home, grams, counts) of gathered() texts: the distinct n-grams of a home that fall to a part, and how often training texts have them."""
     schema = pa.schema([("part", pa.int32()), ("home", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
 
     def send(home: int, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -270,25 +336,27 @@ def sent(texts: DataFrame, order: int, split: int, parts: int) -> DataFrame:
             yield batch(schema, there[i : i + 64], np.full(len(x), home, np.int32), [packed(grams[first[k] : ends[k]]) for k in x], [packed(counts[first[k] : ends[k]]) for k in x])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        at, own = None, []
         for rb in batches:
-            homes, trains = rb.column(0).to_numpy(), rb.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for home in np.unique(homes).tolist():
-                own = held.setdefault(home, [])
+            for home, block in zip(rb.column(0).to_pylist(), rb.column(1), strict=True):
+                if home != at and own:
+                    yield from send(at, own)
+                    own = []
+                at, rows = home, rows_of(block.as_py())
                 for learn in (True, False):
-                    for _, _, grams, _, _ in streams(rb.column(1).filter(pa.array((homes == home) & (trains == learn))), order):
+                    chosen = rows.column(3) if learn else pc.invert(rows.column(3))
+                    for _, _, grams, _, _ in streams(rows.column(1).filter(chosen), order):
                         keys, n = np.unique(grams, return_counts=True)
                         own.append((keys, n if learn else np.zeros(len(keys), np.int64)))
-                if sum(len(k) for k, _ in own) > 4_000_000:
-                    own[:] = [merged(own)]
-                    if len(own[0][0]) > 2_000_000:
-                        yield from send(home, own)
-                        own.clear()
-        for home, own in held.items():
-            if own:
-                yield from send(home, own)
+                if sum(len(k) for k, _ in own) > 6_000_000:
+                    own = [merged(own)]
+                    if len(own[0][0]) > 3_000_000:
+                        yield from send(at, own)
+                        own = []
+        if own:
+            yield from send(at, own)
 
-    return texts.select("home", "text", "trains").mapInArrow(lean(run), "part int, home int, grams binary, counts binary")
+    return texts.mapInArrow(lean(run), "part int, home int, grams binary, counts binary")
 
 
 def answered(blocks: DataFrame, low: list[tuple[np.ndarray, np.ndarray]], order: int, split: int) -> DataFrame:
@@ -305,7 +373,7 @@ def answered(blocks: DataFrame, low: list[tuple[np.ndarray, np.ndarray]], order:
         costs = Trie([*low.value, *levels[::-1]]).costs(grams)
         for i in range(0, len(held), 64):
             own = held[i : i + 64]
-            yield batch(schema, [h for h, _, _ in own], [g for _, g, _ in own], [packed(costs[np.searchsorted(grams, unpacked(g))]) for _, g, _ in own])
+            yield batch(schema, [h for h, _, _ in own], [g for _, g, _ in own], [coded(costs[np.searchsorted(grams, unpacked(g))]) for _, g, _ in own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -344,41 +412,36 @@ def _scores(texts: DataFrame, order: int, hot_words: int) -> DataFrame:
     low = [merged([(np.ascontiguousarray(least["key"].to_numpy()).view(np.uint64), least["n"].to_numpy())])]
     for j in range(split - 1, 0, -1):
         low.insert(0, shorter(*low[0], j))
-    blocks = sent(texts.repartitionById(parts, F.col("home")), order, split, parts)
+    packs = gathered(texts)
+    blocks = sent(packs.repartitionById(parts, F.col("home")).sortWithinPartitions("home"), order, split, parts)
     answers = answered(blocks.repartitionById(parts, F.col("part")).sortWithinPartitions("part"), low[:split], order, split)
     top = words.orderBy(F.desc("n"), "key").limit(hot_words).toArrow()
     hot = sc.broadcast((t.HashTable(np.ascontiguousarray(top["key"].to_numpy()).view(np.uint64)), top["n"].to_numpy()))
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[t.HashTable, np.ndarray, pa.RecordBatch]]:
-        """Runs of texts of a home, with its n-grams and their costs; answers come before texts."""
+        """The texts of a home, block by block, with its n-grams and their costs; answers come before texts."""
         at, held, model, costs = None, [], None, None
         for rb in batches:
-            home, is_text = rb.column(0).to_numpy(), rb.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            cuts = [0, *(np.flatnonzero((np.diff(home) != 0) | (is_text[1:] != is_text[:-1])) + 1).tolist(), len(home)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if lo == hi:
-                    continue
-                if home[lo] != at:
-                    at, held, model, costs = home[lo], [], None, None
-                run = rb.slice(lo, hi - lo)
-                if not is_text[lo]:
-                    held += [(unpacked(g.as_py()), unpacked(c.as_py(), np.float64)) for g, c in zip(run.column(4), run.column(5), strict=True)]
+            for home, block, grams, cost in zip(rb.column(0).to_pylist(), *(rb.column(i) for i in (1, 2, 3)), strict=True):
+                if home != at:
+                    at, held, model, costs = home, [], None, None
+                if not block.is_valid:
+                    held.append((unpacked(grams.as_py()), decoded(cost.as_py())))
                     continue
                 if model is None:
                     # an n-gram that was sent twice has the same cost twice
-                    grams, first = np.unique(np.concatenate([g for g, _ in held]), return_index=True)
-                    costs = np.concatenate([c for _, c in held])[first]
-                    model, held = t.HashTable(grams), []
-                yield model, costs, run
+                    costs = np.concatenate([c for _, c in held])
+                    model, held = t.HashTable(np.concatenate([g for g, _ in held])), []
+                rows = rows_of(block.as_py())
+                yield model, costs, rows.filter(rows.column(2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, count = hot.value
         logs, end_log = np.log10(count + 0.5), np.log10(ends + 0.5)
         row = TaskContext.get().partitionId() << 33
         for model, costs, rb in homes(batches):
-            parts = []
-            for lo, hi, grams, begins, (b, offsets) in streams(rb.column(3), order):
+            for lo, hi, grams, begins, (b, offsets) in streams(rb.column(1), order):
                 n = hi - lo
                 at = model.find(grams)
                 if (at < 0).any():
@@ -390,24 +453,21 @@ def _scores(texts: DataFrame, order: int, hot_words: int) -> DataFrame:
                 there = at >= 0
                 known = np.concatenate([[0], np.cumsum(there)])
                 value = np.concatenate([[0.0], np.cumsum(np.where(there, logs[np.maximum(at, 0)] if len(logs) else 0.0, 0.0))])
-                rare, times, sizes = [], [], []
-                for d in range(n):
-                    x, c = np.unique(h[first[d] : first[d + 1]][~there[first[d] : first[d + 1]]], return_counts=True)
-                    rare.append(x)
-                    times.append(c)
-                    sizes.append(len(x))
-                cuts = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                lists = [pa.ListArray.from_arrays(cuts, pa.array(v, pa.int64())) for v in (t.signed(np.concatenate(rare)), np.concatenate(times))]
+                # the distinct other words of each text, and how often it has them
+                doc, h = np.repeat(np.arange(n), np.diff(first))[~there], h[~there]
+                by = np.lexsort((h, doc))
+                doc, h = doc[by], h[by]
+                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.zeros(0, np.int64)
+                cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=n))]), pa.int32())
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(v, pa.int64())) for v in (t.signed(h[new]), np.diff(np.append(new, len(h))))]
                 tokens_here = np.diff(first)
-                parts.append((np.arange(row, row + n), rb.column(2).slice(lo, n), tokens_here + 1, known[first[1:]] - known[first[:-1]] + (ends > 0), value[first[1:]] - value[first[:-1]] + end_log, score, *lists))
+                yield batch(schema, np.arange(row, row + n), rb.column(0).slice(lo, n), tokens_here + 1, known[first[1:]] - known[first[:-1]] + (ends > 0), value[first[1:]] - value[first[:-1]] + end_log, score, *lists)
                 row += n
-            for p in parts:
-                yield batch(schema, *p)
 
-    null = lambda kind: F.lit(None).cast(kind)
-    docs = texts.where("scored").select("home", F.lit(True).alias("is_text"), "doc_id", "text", null("binary").alias("grams"), null("binary").alias("costs"))
-    docs = docs.unionByName(answers.select("home", F.lit(False).alias("is_text"), null("long").alias("doc_id"), null("string").alias("text"), "grams", "costs"))
-    docs = docs.repartitionById(parts, F.col("home")).sortWithinPartitions("home", "is_text")
+    none = F.lit(None).cast("binary")
+    docs = packs.select("home", "texts", none.alias("grams"), none.alias("costs"))
+    docs = docs.unionByName(answers.select("home", none.alias("texts"), "grams", "costs"))
+    docs = docs.repartitionById(parts, F.col("home")).sortWithinPartitions("home", F.col("texts").isNotNull())
     found = scratch.save(docs.mapInArrow(lean(run), "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<long>, times array<long>"))
     rare = found.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     n = F.coalesce("n", F.lit(0))
