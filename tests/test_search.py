@@ -73,6 +73,32 @@ def test_partitions_and_tiles_do_not_matter(data):
     same({(r["query_id"], 1): (r["neighbor_id"], r["distance"]) for r in nearest(b, q).collect()}, brute(base, queries, 1))
 
 
+def test_tiles_are_bounded(data, monkeypatch):
+    """Distances come in tiles of so many bytes, however many queries there are; the neighbours are the same."""
+    from vectide.operators import knn as module
+
+    base, queries, _, _ = data
+    monkeypatch.setattr(module, "TILE_BYTES", 8 * len(queries) * 3)
+    sizes, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda x, *a, **o: (sizes.append(x.nbytes), partition(x, *a, **o))[1])
+    take, done = module._nearest(queries.astype(float), 2)
+    take(np.arange(len(base)), base.astype(float))
+    q, i, d = done()
+    got = {}
+    for a, b, c in zip(q.tolist(), i.tolist(), d.tolist()):
+        got[a, 1 + sum(x == a for x, _ in got)] = (b, c)
+    same(got, brute(base, queries, 2))
+    assert sizes and max(sizes) <= 8 * len(queries) * 3
+
+
+def test_blocks_grow_with_queries_and_k(data):
+    from vectide.operators import knn as module
+
+    _, _, _, q = data
+    assert len(module.query_blocks(q)) == 1 and len(module.query_blocks(q, 200)) == 8
+    assert len(module.query_blocks(q, k=module.KEPT_BYTES // 1000)) == 3
+
+
 def test_published_driver(spark):
     base = spark.range(1000).select("id", splat(F.least("id", F.lit(10)).cast("float"), 128).alias("vector"))
     one = spark.range(2).select(F.col("id").alias("query_id"), splat(F.lit(1.0).cast("float"), 128).alias("vector"))
@@ -144,6 +170,13 @@ def test_index(spark, data):
     want = brute(base, queries, 4)
     assert all(ids[q, r - 1] == j and distances[q, r - 1] == pytest.approx(d, abs=1e-9) for (q, r), (j, d) in want.items())
     assert index.reset().count == 0
+    # a frame without ids is numbered in its order
+    index.add(b.orderBy("id").select("vector"))
+    assert (index.search_arrays(queries, 4)[0] == ids).all()
+    index.add(b.orderBy("id").select(F.lit(1).alias("other"), "vector"))
+    assert index.reset().count == 0
+    with pytest.raises(ValueError):
+        index.add(b.select(F.col("vector").alias("x"), F.lit(1).alias("y")))
     with pytest.raises(ValueError):
         index.add(base[:, :3])
     with pytest.raises(ValueError):
@@ -162,3 +195,21 @@ def test_stream_of_queries(spark, data, tmp_path):
     got = {}
     answer(stream, b, 3, lambda df, n: got.update(result(df)), str(tmp_path / "checkpoint")).awaitTermination()
     same(got, brute(base, queries, 3))
+
+
+def test_numbered(spark):
+    from vectide.runtime import numbered
+
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")).orderBy("x")
+    assert {(r["x"], r["n"]) for r in numbered(rows, "n").collect()} == {(k, k) for k in range(1000)}
+    assert numbered(rows.where("x < 0"), "n").count() == 0
+
+
+def test_shared_folder_is_asked_for(spark):
+    from types import SimpleNamespace
+
+    from vectide.runtime import shared_folder
+
+    far = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_folder(far)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions.vectors import squared_norm
 from vectide.operators.knn import knn
+from vectide.runtime import numbered
 
 # Where the vectors of an index are held.
 STORAGE = {"memory": StorageLevel.MEMORY_ONLY, "memory_and_disk": StorageLevel.MEMORY_AND_DISK, "none": None}
@@ -51,8 +52,10 @@ class VectorIndex:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
             return self.spark.createDataFrame(pa.table({id: np.arange(len(x)), "vector": lists}))
         if id not in vectors.columns:
-            column = vectors.columns[0]
-            return vectors.rdd.map(lambda r: r[0]).zipWithIndex().toDF([column, id]).select(F.col(id).cast("bigint"), F.col(column).cast("array<float>").alias("vector"))
+            if "vector" not in vectors.columns and len(vectors.columns) > 1:
+                raise ValueError("a frame of several columns must name its vectors `vector`")
+            column = "vector" if "vector" in vectors.columns else vectors.columns[0]
+            return numbered(vectors.select(F.col(column).cast("array<float>").alias("vector")), id).select(F.col(id).cast("bigint").alias(id), "vector")
         return vectors.select(F.col(id).cast("bigint").alias(id), "vector")
 
     def add(self, vectors: DataFrame | np.ndarray) -> VectorIndex:

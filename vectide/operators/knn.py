@@ -11,33 +11,42 @@ agree with strategy ``sql``, which states the same as expressions and lets
 Catalyst push the rank limit below the shuffle (WindowGroupLimit).
 
 The queries travel to the base, never the other way. Their size is counted first:
-beyond ``query_bytes`` they are dealt into blocks, each searched on its own, so
-no broadcast outgrows that bound.
+beyond ``query_bytes`` they are dealt into blocks. These are searched one after the
+other, each written before the next is read, so neither a broadcast nor what the
+driver holds outgrows that bound. A tile of distances has TILE_BYTES at most,
+whatever the number of queries in a block, and the candidates that a task keeps
+have KEPT_BYTES.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectide.functions.integers import FLT_MAX
 from vectide.functions.vectors import expanded_distance, relative_distance, squared_distance, squared_norm
 from vectide.operators.topk import padded, ranked
+from vectide.runtime import saved
 
 QUERY_BYTES = 32 << 20
-ROWS = 1024
+#: Base vectors whose distances to all queries of a block are worked out at once, and what these may take.
+ROWS, TILE_BYTES = 1024, 32 << 20
+#: What the best candidates of all queries of a block may take in a task.
+KEPT_BYTES = 256 << 20
+#: Tiles of base vectors of which a task keeps the best apart at once.
+TILES = 16
 
 
-def query_blocks(queries: DataFrame, limit: int = QUERY_BYTES) -> Iterator[DataFrame]:
-    """The queries in parts of about ``limit`` bytes, by hash of their id."""
+def query_blocks(queries: DataFrame, limit: int = QUERY_BYTES, k: int = 1) -> list[DataFrame]:
+    """The queries in parts of about ``limit`` bytes, by hash of their id; fewer a part where k is large."""
     n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("vector").cast("bigint") * 8), F.lit(0))).first()
-    parts = max(1, -(-int(size) // limit))
-    for i in range(parts if n else 1):
-        yield queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
+    parts = max(1, -(-int(size) // limit), -(-n * k * 120 // KEPT_BYTES))  # five candidates of 24 bytes for each one that stays
+    return [queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
 
 
 def matrix(vectors: pa.Array) -> np.ndarray:
@@ -67,7 +76,13 @@ def _nearest(query: np.ndarray, k: int):
         last = place == k - 1
         worst[q[last]] = d[last]
 
+    rows = max(1, min(ROWS, TILE_BYTES // (8 * max(1, len(query)))))
+
     def take(ids: np.ndarray, base: np.ndarray) -> None:
+        for at in range(0, len(ids), rows):
+            tile(ids[at : at + rows], base[at : at + rows])
+
+    def tile(ids: np.ndarray, base: np.ndarray) -> None:
         ok = np.isfinite(base).all(axis=1)  # NaN and infinite distances are never selected
         ids, base = ids[ok], base[ok]
         if not len(ids):
@@ -75,8 +90,9 @@ def _nearest(query: np.ndarray, k: int):
         own = (base * base).sum(axis=1)
         d = own[None, :] - 2.0 * (query @ base.T) + norm[:, None]
         reach = np.minimum(worst, np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.inf)
-        slack = 1e-9 * (norm[:, None] + own[None, :])
-        q, b = np.nonzero(d <= reach[:, None] + slack)
+        # within 1e-9 * (norm + own) of the reach
+        d -= 1e-9 * own[None, :]
+        q, b = np.nonzero(d <= (reach + 1e-9 * norm)[:, None])
         exact = np.concatenate([((query[q[s : s + 65536]] - base[b[s : s + 65536]]) ** 2).sum(axis=1) for s in range(0, len(q), 65536)]) if len(q) else np.zeros(0)
         fits = exact < FLT_MAX
         kept[:] = [np.concatenate(x) for x in zip(kept, (q[fits], ids[b[fits]], exact[fits]), strict=True)]
@@ -90,36 +106,72 @@ def _nearest(query: np.ndarray, k: int):
     return take, done
 
 
-def _knn_arrow(base: DataFrame, queries: DataFrame, k: int, exact: bool, salts: int) -> DataFrame:
+def _best_of_tasks(base: DataFrame, queries: DataFrame, k: int, tile: int | None = None) -> tuple[DataFrame, DataFrame, Broadcast]:
+    """((q, neighbor_id, d2) of the best k of each query in each task, (q, query_id, own norm) of the queries, the broadcast they travel in).
+
+    tile: the best k of each tile of so many consecutive ids, as (q, tile, local_id, d2).
+    """
     import pyarrow.compute  # noqa: F401
 
+    spark = base.sparkSession
     found = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "vector").toArrow()  # bounded by query_blocks()
     ids = found["query_id"].to_numpy()
     query = matrix(found["vector"].combine_chunks()) if len(ids) else np.zeros((0, 0))
-    shared = base.sparkSession.sparkContext.broadcast(query)
-    schema = pa.schema([("q", pa.int64()), ("neighbor_id", pa.int64()), ("d2", pa.float64())])
+    shared = spark.sparkContext.broadcast(query)
+    names = ["q", "neighbor_id", "d2"] if tile is None else ["q", "tile", "local_id", "d2"]
+    schema = pa.schema([(x, pa.float64() if x == "d2" else pa.int64()) for x in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        take, done = _nearest(shared.value, k)
-        for rb in batches:
+        open_: dict[int, tuple] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for number, (_, done) in open_.items():
+                q, i, d = done()
+                columns = (q, i, d) if tile is None else (q, np.full(len(q), number), i, d)
+                for at in range(0, len(q), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in columns], schema=schema)
+            open_.clear()
+
+        for rb in batches if len(shared.value) else ():
             for at in range(0, rb.num_rows, ROWS):
                 part = rb.slice(at, ROWS)
-                take(part.column(0).to_numpy(zero_copy_only=False), matrix(part.column(1)))
-        out = done()
-        for at in range(0, len(out[0]), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in out], schema=schema)
-
-    if not len(ids):
-        return base.sparkSession.createDataFrame([], "query_id bigint, rank bigint, neighbor_id bigint, distance double")
-    local = base.select(F.col("id").cast("bigint").alias("id"), "vector").mapInArrow(run, "q bigint, neighbor_id bigint, d2 double")
+                i, v = part.column(0).to_numpy(zero_copy_only=False), matrix(part.column(1))
+                of = np.zeros(len(i), np.int64) if tile is None else i // tile
+                for number in np.unique(of).tolist():
+                    if number not in open_ and len(open_) == TILES:
+                        yield from flush()
+                    if number not in open_:
+                        open_[number] = _nearest(shared.value, k)
+                    mine = of == number
+                    open_[number][0](i[mine] if tile is None else i[mine] % tile, v[mine])
+        yield from flush()
+
+    local = base.select(F.col("id").cast("bigint").alias("id"), "vector").mapInArrow(run, ", ".join(f"{x} {'double' if x == 'd2' else 'bigint'}" for x in names))
+    return local, spark.createDataFrame(pa.table({"q": np.arange(len(ids)), "query_id": pa.array(ids, pa.int64()), "own": (query * query).sum(axis=1)})), shared
+
+
+def _knn_arrow(base: DataFrame, queries: DataFrame, k: int, exact: bool, salts: int) -> tuple[DataFrame, Broadcast]:
+    local, names, shared = _best_of_tasks(base, queries, k)
     if salts > 1:  # k rows a task and query of very many tasks meet in two steps
         local = ranked(local.withColumn("salt", F.pmod(F.xxhash64("neighbor_id"), F.lit(salts))), ["q", "salt"], "d2", "neighbor_id", k).drop("rank", "salt")
     best = ranked(local, "q", "d2", "neighbor_id", k)
-    names = F.broadcast(base.sparkSession.createDataFrame(pa.table({"q": np.arange(len(ids)), "query_id": ids, "own": (query * query).sum(axis=1)})))  # a row per query of the block
     distance = F.col("d2") if exact else F.col("d2") - F.col("own")
-    return best.join(names, "q").select("query_id", "rank", "neighbor_id", distance.alias("distance"))
+    return best.join(F.broadcast(names), "q").select("query_id", "rank", "neighbor_id", distance.alias("distance")), shared  # a row per query of the block
+
+
+def _one_by_one(blocks: list[DataFrame], search: Callable[[DataFrame], tuple[DataFrame, Broadcast | None]]) -> DataFrame:
+    """The union of a search of each block. Of several, each is written and its broadcast gone before the next begins."""
+    out = None
+    for block in blocks:
+        part, shared = search(block)
+        if len(blocks) > 1:
+            part = saved(part, "block")
+            if shared is not None:
+                shared.destroy()
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 def _knn_sql(base: DataFrame, queries: DataFrame, k: int, exact: bool, form: str) -> DataFrame:
@@ -168,37 +220,34 @@ def knn(base: DataFrame, queries: DataFrame, k: int, exact: bool = True, strateg
     if strategy not in ("arrow", "sql") or form not in ("direct", "expanded"):
         raise ValueError("unknown strategy or form")
     salts = salts or 1 + min(255, plan_bytes(base) // ONE_STEP_BYTES)
-    base, out = spread(base), None
-    for block in query_blocks(queries, query_bytes):
-        part = _knn_arrow(base, block, k, exact, salts) if strategy == "arrow" else _knn_sql(base, block, k, exact, form)
-        out = part if out is None else out.unionAll(part)
+    base = spread(base)
+    out = _one_by_one(query_blocks(queries, query_bytes, k), lambda block: _knn_arrow(base, block, k, exact, salts) if strategy == "arrow" else (_knn_sql(base, block, k, exact, form), None))
     return padded(out, queries.select(F.col("query_id").cast("bigint").alias("query_id")), k) if pad else out
 
 
 def nearest(base: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, neighbor_id, distance) of the single nearest base vector: one hash aggregate, combined before the shuffle."""
-    out = None
-    for block in query_blocks(queries):
-        q = block.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("vector").alias("qv"))
-        pairs = spread(base).crossJoin(F.broadcast(q)).select("query_id", F.struct(squared_distance("qv", "vector").alias("distance"), F.col("id").cast("bigint").alias("neighbor_id")).alias("p"))
-        pairs = pairs.where(~F.isnan("p.distance") & (F.col("p.distance") < FLT_MAX))
-        part = pairs.groupBy("query_id").agg(F.min("p").alias("p")).select("query_id", "p.neighbor_id", "p.distance")
-        out = part if out is None else out.unionAll(part)
-    return out
+    """(query_id, neighbor_id, distance) of the single nearest base vector: the best of each task, then one hash aggregate."""
+    base = spread(base)
+
+    def search(block: DataFrame) -> tuple[DataFrame, Broadcast]:
+        local, names, shared = _best_of_tasks(base, block, 1)
+        best = local.groupBy("q").agg(F.min(F.struct("d2", "neighbor_id")).alias("p"))
+        return best.join(F.broadcast(names), "q").select("query_id", "p.neighbor_id", F.col("p.d2").alias("distance")), shared  # a row per query of the block
+
+    return _one_by_one(query_blocks(queries), search)
 
 
 def knn_tiled(base: DataFrame, queries: DataFrame, k: int, tile: int) -> DataFrame:
     """knn() in two levels: the best k of every tile of ``tile`` consecutive ids, numbered within it, then the best k of all."""
-    out = None
-    for block in query_blocks(queries):
-        q = block.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("vector").alias("qv"))
-        numbered = spread(base).select(F.floor(F.col("id") / tile).cast("bigint").alias("tile"), F.pmod(F.col("id"), F.lit(tile)).cast("bigint").alias("local_id"), "vector")
-        pairs = numbered.crossJoin(F.broadcast(q)).select("query_id", "tile", "local_id", squared_distance("qv", "vector").alias("distance"))
-        first = ranked(pairs, ["query_id", "tile"], "distance", "local_id", k).drop("rank")
-        second = ranked(rebased(first, "local_id", "tile", tile).withColumnRenamed("local_id", "neighbor_id"), "query_id", "distance", "neighbor_id", k)
-        part = second.select("query_id", "rank", "neighbor_id", "distance")
-        out = part if out is None else out.unionAll(part)
-    return out
+    base = spread(base)
+
+    def search(block: DataFrame) -> tuple[DataFrame, Broadcast]:
+        local, names, shared = _best_of_tasks(base, block, k, tile)
+        first = ranked(local, ["q", "tile"], "d2", "local_id", k).drop("rank")  # a tile's rows may be with several tasks
+        second = ranked(rebased(first, "local_id", "tile", tile).withColumnRenamed("local_id", "neighbor_id"), "q", "d2", "neighbor_id", k)
+        return second.join(F.broadcast(names), "q").select("query_id", "rank", "neighbor_id", F.col("d2").alias("distance")), shared  # a row per query of the block
+
+    return _one_by_one(query_blocks(queries, k=k * TILES), search)
 
 
 def rebased(df: DataFrame, local_id: str, tile: str, size: int) -> DataFrame:

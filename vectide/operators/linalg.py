@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.functions.vectors import squared_norm
-from vectide.operators.knn import QUERY_BYTES, matrix
+from vectide.operators.knn import QUERY_BYTES, TILE_BYTES, matrix
+from vectide.runtime import saved
 
 
 def coordinates(rows: DataFrame, id: str = "id", vector: str = "vector") -> DataFrame:
@@ -45,7 +46,7 @@ def gemm(a: DataFrame, b: DataFrame, c: DataFrame | None = None, trans_a: bool =
 def row_products(a: DataFrame, b: DataFrame, alpha: float = 1.0, b_bytes: int = QUERY_BYTES) -> DataFrame:
     """(i, j, v): alpha times the dot products of rows of a(id, vector) and b(id, vector).
 
-    b travels to a as a matrix of checked size, in blocks beyond ``b_bytes``; products are BLAS calls per block of rows.
+    b travels to a as a matrix of checked size, beyond ``b_bytes`` in blocks, each written before the next is read; products are BLAS calls on tiles of bounded size.
     """
     import pyarrow.compute  # noqa: F401
 
@@ -62,13 +63,17 @@ def row_products(a: DataFrame, b: DataFrame, alpha: float = 1.0, b_bytes: int =
             import pyarrow.compute  # noqa: F401
 
             ids, right = shared.value
+            rows = max(1, min(256, TILE_BYTES // (24 * max(1, len(ids)))))
             for rb in batches:
-                for at in range(0, rb.num_rows if len(ids) else 0, 256):
-                    part = rb.slice(at, 256)
+                for at in range(0, rb.num_rows if len(ids) else 0, rows):
+                    part = rb.slice(at, rows)
                     v = alpha * (matrix(part.column(1)) @ right.T)
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), len(ids))), pa.array(np.tile(ids, len(v))), pa.array(v.ravel())], schema=schema)
 
         part = a.select(F.col("id").cast("bigint").alias("id"), "vector").mapInArrow(run, "i bigint, j bigint, v double")
+        if parts > 1:
+            part = saved(part, "products")
+            shared.destroy()
         out = part if out is None else out.unionAll(part)
     return out
 

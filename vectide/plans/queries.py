@@ -15,9 +15,9 @@ from vectide.functions import strings as S
 from vectide.functions import vectors as V
 from vectide.operators import evaluate, linalg, reduce, tensor, topk
 from vectide.operators.knn import knn, knn_tiled, nearest
-from vectide.runtime import scratch_path
+from vectide.runtime import numbered, scratch_path
 from vectide.sources import xvecs
-from vectide.sources.datasets import from_frames
+from vectide.sources.datasets import from_frames, load, load_gist, load_sift
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,9 +38,9 @@ def base_of(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
-def queries_of(base: DataFrame, n: int = 50) -> DataFrame:
-    """The first n vectors: the stated query set of the search queries."""
-    return base.where(F.col("id") < n).select(F.col("id").alias("query_id"), "vector")
+def queries_of(base: DataFrame) -> DataFrame:
+    """The vectors whose id is divisible by 20: the stated query set of the searches, against all vectors."""
+    return base.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), "vector")
 
 
 def r6(x: Column) -> Column:
@@ -60,7 +60,7 @@ REL = f"{NORM2.format(a='b.embedding')} - 2.0 * {DOT.format(a='q.embedding', b='
 
 
 def knn_sql(distance: str, k: int = 10, base: str = "embeddings", shown: str = "d") -> str:
-    return f"""WITH p AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, {distance} AS d, {NORM2.format(a="q.embedding")} AS own FROM {base} b, embeddings q WHERE q.vec_id < 50),
+    return f"""WITH p AS (SELECT q.vec_id AS query_id, b.vec_id AS neighbor_id, {distance} AS d, {NORM2.format(a="q.embedding")} AS own FROM {base} b, embeddings q WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, neighbor_id) AS rank FROM p)
 SELECT query_id, CAST(rank AS BIGINT) AS rank, neighbor_id, round({shown}, 6) + 0.0 AS distance FROM r WHERE rank <= {k}"""
 
@@ -106,34 +106,44 @@ def _(s, d):
     return rounded(knn(b, queries_of(b), 10, query_bytes=8192), "distance")
 
 
-@query("knn_all_pairs", knn_sql(L2.format(a="q.embedding", b="b.embedding")).replace("WHERE q.vec_id < 50", ""))
+@query("knn_all_pairs", knn_sql(L2.format(a="q.embedding", b="b.embedding")).replace("WHERE q.vec_id % 20 = 0", ""))
 def _(s, d):
     b = base_of(s, d)
     return rounded(knn(b, b.select(F.col("id").alias("query_id"), "vector"), 10), "distance")
 
 
-@query("knn_k1_argmin", f"SELECT q.vec_id AS query_id, arg_min(b.vec_id, ({L2.format(a='q.embedding', b='b.embedding')}, b.vec_id)) AS neighbor_id, round(min({L2.format(a='q.embedding', b='b.embedding')}), 6) + 0.0 AS distance FROM embeddings b, embeddings q WHERE q.vec_id < 50 GROUP BY q.vec_id")
+@query("knn_k1_argmin", f"SELECT q.vec_id AS query_id, arg_min(b.vec_id, ({L2.format(a='q.embedding', b='b.embedding')}, b.vec_id)) AS neighbor_id, round(min({L2.format(a='q.embedding', b='b.embedding')}), 6) + 0.0 AS distance FROM embeddings b, embeddings q WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id")
 def _(s, d):
     b = base_of(s, d)
     return rounded(nearest(b, queries_of(b)), "distance")
 
 
-PADDED = """WITH f AS ({knn}), g AS (SELECT q.vec_id AS query_id, unnest(range(1, 11)) AS rank FROM embeddings q WHERE q.vec_id < 50)
+PADDED = """WITH f AS ({knn}), g AS (SELECT q.vec_id AS query_id, unnest(range(1, {k} + 1)) AS rank FROM embeddings q WHERE q.vec_id % 20 = 0)
 SELECT g.query_id, CAST(g.rank AS BIGINT) AS rank, coalesce(f.neighbor_id, -1) AS neighbor_id, coalesce(f.distance, 3.4028234663852886e38::DOUBLE) AS distance FROM g LEFT JOIN f ON f.query_id = g.query_id AND f.rank = g.rank"""
+#: Cells of all vectors, and the mean vector of each label.
+ALL_CELLS = "SELECT vec_id AS i, unnest(range(0, len(embedding))) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings"
+CENTRES = f"SELECT e.label AS i, c.j, avg(c.v) AS v FROM ({ALL_CELLS}) c JOIN embeddings e ON e.vec_id = c.i GROUP BY e.label, c.j"
 
 
-def _padded_base(where: str, n: str) -> str:
-    return PADDED.format(knn=knn_sql(L2.format(a="q.embedding", b="b.embedding"), base=f"(SELECT * FROM embeddings WHERE {where})"))
+def _padded(base: str, k: int) -> str:
+    return PADDED.format(knn=knn_sql(L2.format(a="q.embedding", b="b.embedding"), k=k, base=base), k=k)
 
 
-@query("knn_padded", _padded_base("vec_id < 5", "5"))
+def centres(b: DataFrame) -> DataFrame:
+    """(i, j, v): the mean vector of each label, row i being label i."""
+    cells = b.select(F.col("label").cast("bigint").alias("i"), F.posexplode("vector").alias("j", "v"))
+    return cells.groupBy("i", F.col("j").cast("bigint").alias("j")).agg(F.avg(F.col("v").cast("double")).alias("v"))
+
+
+# a base of the label centres, so that there are fewer vectors than ranks
+@query("knn_padded", _padded(f"(SELECT i AS vec_id, list(v ORDER BY j) AS embedding FROM ({CENTRES}) GROUP BY i)", 16))
 def _(s, d):
     b = base_of(s, d)
-    found = knn(b.where("id < 5"), queries_of(b), 10, pad=True)
+    found = knn(linalg.rows_of(centres(b)), queries_of(b), 16, pad=True)
     return found.withColumn("distance", F.when(F.col("neighbor_id") < 0, F.col("distance")).otherwise(r6(F.col("distance"))))
 
 
-@query("knn_empty_base", _padded_base("vec_id < 0", "0"))
+@query("knn_empty_base", _padded("(SELECT * FROM embeddings WHERE vec_id < 0)", 10))
 def _(s, d):
     b = base_of(s, d)
     return knn(b.where("id < 0"), queries_of(b), 10, pad=True)
@@ -235,25 +245,31 @@ def _(s, d):
     return linalg.add_to_rows(b, "n").select("id", r6(F.col("vector")[0]).alias("first"))
 
 
-# A: vectors 0 to 15, B: vectors 16 to 31, both cut to 8 columns
-CELLS = "SELECT vec_id - {lo} AS i, j, embedding[j + 1]::DOUBLE AS v FROM (SELECT vec_id, embedding, unnest(range(0, {dim})) AS j FROM embeddings WHERE vec_id >= {lo} AND vec_id < {hi})"
+# A: all vectors, B: the label centres, C: 1 where a vector has a label; A times B transposed is a row per vector and a column per label
+ONE_HOT = "SELECT e.vec_id AS i, l.label AS j, CASE WHEN e.label = l.label THEN 1.0 ELSE 0.0 END AS v FROM embeddings e, (SELECT DISTINCT label FROM embeddings) l"
 
 
-def _cells(s, d, lo: int, hi: int, dim: int) -> DataFrame:
-    return linalg.coordinates(tensor.narrow_columns(tensor.narrow_rows(base_of(s, d), lo, hi - lo), 0, dim))
+def _one_hot(b: DataFrame) -> DataFrame:
+    labels = b.agg(F.array_sort(F.collect_set("label")).alias("all"))  # one row, of as many elements as there are labels
+    return b.join(F.broadcast(labels)).select(F.col("id").alias("i"), "label", F.explode("all").alias("j")).select("i", F.col("j").cast("bigint").alias("j"), F.when(F.col("j") == F.col("label"), 1.0).otherwise(0.0).alias("v"))
 
 
 def _gemm_sql(ta: bool, tb: bool, tc: bool, alpha: float, beta: float) -> str:
-    a = "(SELECT j AS i, i AS j, v FROM a0)" if ta else "a0"
-    b = "(SELECT j AS i, i AS j, v FROM b0)" if tb else "b0"
+    """SQL on inputs that lie transposed where the flag says so, with the result transposed where tc does."""
+    lying = lambda x, t: f"(SELECT {'j AS i, i AS j' if t else 'i, j'}, v FROM {x})"
     i, j = ("j", "i") if tc else ("i", "j")
-    return f"""WITH a0 AS ({CELLS.format(lo=0, hi=8, dim=8)}), b0 AS ({CELLS.format(lo=8, hi=16, dim=8)}), c0 AS ({CELLS.format(lo=16, hi=24, dim=8)}),
-m AS (SELECT a.i, b.j, {alpha} * a.v * b.v AS v FROM {a} a JOIN {b} b ON a.j = b.i UNION ALL SELECT {i} AS i, {j} AS j, {beta} * v FROM c0)
+    return f"""WITH x AS ({ALL_CELLS}), y AS ({CENTRES}), z AS ({ONE_HOT}), a AS {lying("x", ta)}, b AS {lying("y", not tb)}, c AS {lying("z", tc)},
+m AS (SELECT a.i, b.j, {alpha} * a.v * b.v AS v FROM {lying("a", ta)} a JOIN {lying("b", tb)} b ON a.j = b.i UNION ALL SELECT i, j, {beta} * v FROM {lying("c", tc)})
 SELECT {i} AS i, {j} AS j, round(sum(v), 6) + 0.0 AS v FROM m GROUP BY m.i, m.j"""
 
 
 def _gemm(ta: bool, tb: bool, tc: bool, alpha: float, beta: float) -> Query:
-    return lambda s, d: rounded(linalg.gemm(_cells(s, d, 0, 8, 8), _cells(s, d, 8, 16, 8), _cells(s, d, 16, 24, 8), ta, tb, tc, alpha, beta), "v")
+    def run(s: SparkSession, d: str) -> DataFrame:
+        b = base_of(s, d)
+        x, y, z = linalg.coordinates(b), centres(b), _one_hot(b)
+        return rounded(linalg.gemm(linalg.transpose(x) if ta else x, y if tb else linalg.transpose(y), linalg.transpose(z) if tc else z, ta, tb, tc, alpha, beta), "v")
+
+    return run
 
 
 for _ta in (False, True):
@@ -264,15 +280,15 @@ for _ta in (False, True):
 query("gemm_alpha_beta", _gemm_sql(False, True, False, -2.0, 1.0))(_gemm(False, True, False, -2.0, 1.0))
 
 
-@query("row_products", f"SELECT a.vec_id AS i, b.vec_id AS j, round(-2.0 * {DOT.format(a='a.embedding', b='b.embedding')}, 6) + 0.0 AS v FROM embeddings a, embeddings b WHERE b.vec_id < 16")
+@query("row_products", f"SELECT a.vec_id AS i, q.vec_id AS j, round(-2.0 * {DOT.format(a='a.embedding', b='q.embedding')}, 6) + 0.0 AS v FROM embeddings a, embeddings q WHERE q.vec_id % 20 = 0")
 def _(s, d):
     b = base_of(s, d)
-    return rounded(linalg.row_products(b, b.where("id < 16"), alpha=-2.0), "v")
+    return rounded(linalg.row_products(b, queries_of(b).withColumnRenamed("query_id", "id"), alpha=-2.0), "v")
 
 
-@query("matrix_transpose", f"SELECT j AS i, i AS j, round(v, 6) + 0.0 AS v FROM ({CELLS.format(lo=0, hi=16, dim=64)})")
+@query("matrix_transpose", f"SELECT j AS i, i AS j, round(v, 6) + 0.0 AS v FROM ({ALL_CELLS})")
 def _(s, d):
-    return rounded(linalg.transpose(_cells(s, d, 0, 16, 64)), "v")
+    return rounded(linalg.transpose(linalg.coordinates(base_of(s, d))), "v")
 
 
 @query("narrow_rows", "SELECT vec_id - 100 AS id, round(embedding[1]::DOUBLE, 6) + 0.0 AS first FROM embeddings WHERE vec_id >= 100 AND vec_id < 120")
@@ -322,22 +338,19 @@ def _(s, d):
     return tensor.shape_table(base_of(s, d))
 
 
-@query("same_sizes", "SELECT true AS same_rank, (SELECT count(*) FROM embeddings WHERE vec_id < 10) = (SELECT count(*) FROM embeddings WHERE vec_id >= 10 AND vec_id < 20) AS same_sizes")
+@query("same_sizes", "SELECT true AS same_rank, count(*) = count(embedding) AND min(len(embedding)) = max(len(embedding)) AS same_sizes, CASE WHEN max(len(embedding)) = 32 THEN true ELSE false END AS same_as_half FROM embeddings")
 def _(s, d):
     b = base_of(s, d)
-    return tensor.same_sizes(b.where("id < 10"), b.where("id >= 10 AND id < 20"))
+    half = tensor.same_sizes(b, tensor.narrow_columns(b, 0, 32)).select(F.col("same_sizes").alias("same_as_half"))
+    return tensor.same_sizes(b, b.withColumn("vector", V.negate("vector"))).join(half, F.lit(True))  # one row each
 
 
 # --- evaluation --------------------------------------------------------------
 
-LABELS = "SELECT label AS value FROM embeddings WHERE vec_id % {m} = 0"
-
-
-@query("set_intersection", f"{LABELS.format(m=2)} INTERSECT ALL {LABELS.format(m=3)}")
+@query("set_intersection", "SELECT label AS value FROM embeddings INTERSECT ALL SELECT CAST(vec_id % 7 AS INTEGER) AS value FROM embeddings")
 def _(s, d):
     b = base_of(s, d)
-    part = lambda m: b.where(F.col("id") % m == 0).select(F.col("label").alias("value"))
-    return evaluate.intersect_all(part(2), part(3))
+    return evaluate.intersect_all(b.select(F.col("label").alias("value")), b.select((F.col("id") % 7).cast("int").alias("value")))
 
 
 HITS = f"""WITH t AS ({EXACT}), f AS ({EXACT.replace('q.embedding, b.embedding', 'q.embedding[1:32], b.embedding[1:32]')}),
@@ -370,7 +383,7 @@ def _(s, d):
     return evaluate.membership(knn(short, queries_of(short), 10).select("query_id", "neighbor_id"), knn(b, queries_of(b), 10))
 
 
-@query("dataset_info", "SELECT CAST(max(len(embedding)) AS BIGINT) AS dim, count(*) AS n_base, (SELECT count(*) FROM embeddings WHERE vec_id < 50) AS n_queries, CAST(10 AS BIGINT) AS truth_k FROM embeddings")
+@query("dataset_info", "SELECT CAST(max(len(embedding)) AS BIGINT) AS dim, count(*) AS n_base, (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) AS n_queries, CAST(10 AS BIGINT) AS truth_k FROM embeddings")
 def _(s, d):
     return _half(s, d)[0].info()
 
@@ -522,7 +535,7 @@ def _(s, d):
 def _(s, d):
     # places from the sorted partitions: each starts where those before it end, so no window takes all rows
     rows = reduce.sorted_values(base_of(s, d).select("id", "label"), "label", "id", descending=True)
-    return rows.rdd.map(tuple).zipWithIndex().map(lambda x: (*x[0], x[1] + 1)).toDF("id bigint, label int, place bigint")
+    return numbered(rows, "place").withColumn("place", F.col("place") + 1)
 
 
 # --- sources -----------------------------------------------------------------------
@@ -543,6 +556,16 @@ def _(s, d):
     return linalg.gaussian(s, 1000, 16, mean=1.0, stddev=2.0, seed=7)
 
 
+@query("random_matrix_moments", "SELECT CAST(20000 AS BIGINT) AS n, CAST(16 AS BIGINT) AS dim, true AS mean_holds, true AS stddev_holds, true AS symmetric, true AS again_the_same")
+def _(s, d):
+    # 320,000 numbers: the mean lies within 0.02 of 1 and the deviation within 0.02 of 2 but for one seed in millions
+    x = linalg.gaussian(s, 20000, 16, mean=1.0, stddev=2.0, seed=7)
+    again = linalg.gaussian(s, 20000, 16, mean=1.0, stddev=2.0, seed=7).agg(F.sum(V.sumc("vector")).alias("total2"))
+    cells = linalg.coordinates(x).agg(F.countDistinct("i").alias("n"), (F.max("j") + 1).alias("dim"), F.avg("v").alias("m"), F.stddev("v").alias("s"), F.avg((F.col("v") > 1).cast("double")).alias("above"), F.sum("v").alias("total"))
+    v = F.col
+    return cells.join(again, F.lit(True)).select("n", "dim", (F.abs(v("m") - 1) < 0.02).alias("mean_holds"), (F.abs(v("s") - 2) < 0.02).alias("stddev_holds"), (F.abs(v("above") - 0.5) < 0.01).alias("symmetric"), (F.abs(v("total") - v("total2")) < 1e-3).alias("again_the_same"))  # one row each
+
+
 @query("constant_matrix", "SELECT range AS id, 0.0::DOUBLE AS total, CAST(8 AS BIGINT) AS dim FROM range(100)")
 def _(s, d):
     return linalg.constant(s, 100, 8).select("id", V.sumc("vector").alias("total"), F.size("vector").cast("bigint").alias("dim"))
@@ -560,3 +583,57 @@ def _(s, d):
 def _(s, d):
     return linalg.norms(linalg.constant(s, 100, 512, 1.0))
 
+
+
+def _written(s: SparkSession, d: str, name: str) -> str:
+    """A folder with base, queries and true neighbours of ``embeddings`` as xvecs files, each in order of its ids."""
+    xvecs.register(s)
+    folder, b = scratch_path(s, "dataset"), base_of(s, d)
+    truth = topk.wide(knn(b, queries_of(b), 10)).select(F.col("query_id").alias("id"), F.transform("neighbors", lambda x: x.cast("int")).alias("vector"))
+    for rows, file in ((b, "base.fvecs"), (queries_of(b).withColumnRenamed("query_id", "id"), "query.fvecs"), (truth, "groundtruth.ivecs")):
+        rows.select("id", "vector").repartitionByRange(4, "id").sortWithinPartitions("id").write.format("xvecs").mode("overwrite").save(f"{folder}/{name}_{file}")
+    return folder
+
+
+@query("dataset_files", "SELECT CAST(max(len(embedding)) AS BIGINT) AS dim, count(*) AS n_base, (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) AS n_queries, CAST(10 AS BIGINT) AS truth_k, 1.0::DOUBLE AS recall FROM embeddings")
+def _(s, d):
+    data = load(s, "mine", _written(s, d, "mine"))
+    return data.info().join(data.recall(data.found()), F.lit(True))  # one row each
+
+
+# queries are numbered from 0 in the file: number n is vector 20 * n
+TRUTH = f"SELECT query_id // 20 AS query_id, array_to_string(list(neighbor_id ORDER BY rank), ',') AS neighbors FROM ({EXACT}) GROUP BY query_id"
+
+
+@query("dataset_sift", TRUTH)
+def _(s, d):
+    return load_sift(s, _written(s, d, "sift")).truth.select("query_id", F.array_join(F.transform("neighbors", lambda x: x.cast("string")), ",").alias("neighbors"))
+
+
+@query("dataset_gist", TRUTH)
+def _(s, d):
+    return load_gist(s, _written(s, d, "gist")).found().select("query_id", F.array_join(F.transform("neighbors", lambda x: x.cast("string")), ",").alias("neighbors"))
+
+
+@query("index_life", "SELECT true AS trained, CAST(0 AS BIGINT) AS n_before, count(*) AS n_added, CAST(0 AS BIGINT) AS n_after_reset, CAST(0 AS BIGINT) AS found_after_reset, 2 * count(*) AS n_again FROM embeddings")
+def _(s, d):
+    from vectide.operators.index import IndexConfig, VectorIndex
+
+    b = base_of(s, d)
+    index = VectorIndex(s, 64, IndexConfig(storage="none"))
+    trained, before = index.train(b).is_trained, index.count
+    added = index.add(b.select("vector")).count
+    after = index.reset().count
+    left = index.search(queries_of(b), 3).count()
+    again = index.add(b).add(b).count
+    return s.createDataFrame([(trained, before, added, after, left, again)], "trained boolean, n_before bigint, n_added bigint, n_after_reset bigint, found_after_reset bigint, n_again bigint")
+
+
+@query("index_search_arrays", f"WITH f AS ({knn_sql(L2.format(a='q.embedding', b='b.embedding'), k=3)}) SELECT query_id // 20 AS place, CAST(rank AS BIGINT) AS rank, neighbor_id, distance FROM f")
+def _(s, d):
+    from vectide.operators.index import IndexConfig, VectorIndex
+
+    b = base_of(s, d)
+    ids, distances = VectorIndex(s, 64, IndexConfig(storage="none")).add(b).search_arrays(queries_of(b), 3)  # matrices are what this call gives
+    rows = [(q, r + 1, int(ids[q, r]), float(distances[q, r])) for q in range(len(ids)) for r in range(3)]
+    return rounded(s.createDataFrame(rows, "place bigint, rank bigint, neighbor_id bigint, distance double"), "distance")

@@ -11,14 +11,17 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
+    """The folder that all executors share: spark.checkpoint.dir or, where that is unset and all is one machine, a temporary one."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="vectide-"))
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
@@ -42,6 +45,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df from a table in the shared folder, written now."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with consecutive numbers from 0 in the order of its partitions.
+
+    Rows are numbered within their partitions and written, so that a repeated task can't number them
+    anew; then each partition starts where those before it end. Only their sizes meet in one task.
+    """
+    held = saved(df.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__at", 33).alias("__part")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    first = held.groupBy(part).agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    place = (F.col("__first") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name)
+    return held.withColumn("__part", part).join(F.broadcast(first), "__part").select(*df.columns, place)  # a row per partition
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once a session: their Python workers needn't have it installed."""
     sc = spark.sparkContext
