@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectide.llm._spark import Scratch, prepared
+from vectide.llm._spark import Scratch, prepared, released
 from vectide.llm.decontamination import without_leaks
 from vectide.llm.language_id import of_known_language
 from vectide.llm.ngram_join import one_of_each
@@ -66,7 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
+    docs, scratch, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark), None
     for _, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
+        released(spark)
     return docs

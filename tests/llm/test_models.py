@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.conftest import SCHEMA, rows, text_of
+from tests.llm.conftest import LANGS, SCHEMA, rows, text_of
 from vectide.llm import language_id, license_scan, ppm, quality_rules, rule_ensemble
 from vectide.llm import sentencepiece_codec as codec
 from vectide.llm import token_counts as counts
@@ -457,10 +457,18 @@ def test_trigram_scores_by_brute_force(spark):
 def test_rejection_by_share(spark, docs):
     rng = random.Random(3)
     mixed = " ".join(text_of(rng, x, 60) for x in ("en", "ru", "fr"))
-    rows = [(1, mixed, None), (2, "中文字符中文字符 the", None), (3, "中文 the cat sat on the mat", None), (4, "123", None)]
+    flips = " ".join(rng.choice(LANGS[x]) for _ in range(60) for x in ("en", "ru", "ru", "fr"))
+    rows = [(1, mixed, None), (2, "中文字符中文字符 the", None), (3, "中文 the cat sat on the mat", None), (4, "123", None), (5, "the", None)]
     frame = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(i + 10**6, x, y) for i, x, y in rows], "doc_id long, text string, lang string"))
     kept = {r["doc_id"] for r in language_id.of_known_language(frame).collect()}
-    assert {10**6 + 1, 10**6 + 3} <= kept and not {10**6 + 2, 10**6 + 4} & kept
+    assert {10**6 + 1, 10**6 + 3, 10**6 + 5} <= kept and not {10**6 + 2, 10**6 + 4} & kept
+    # spans of one or two words count only where they are asked for
+    model = language_id.learn(docs.where("lang is not null and text is not null").select("text", "lang"))
+    b = np.frombuffer(flips.encode(), np.uint8)
+    best, _, v, doc, label = language_id.shares(b, np.array([0, len(b)]), model, 0.1)
+    at = language_id.span_starts(doc, label)
+    want = [0] + [k for k in range(1, len(label)) if label[k] != label[k - 1]]
+    assert at.tolist() == want and len(at) > 60
 
 
 # --- operator 6 --------------------------------------------------------------------

@@ -64,6 +64,12 @@ class Scratch:
                 remove(self.spark, path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nobody holds any more; it learns of them from its garbage collector."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """f for mapInArrow, giving what a task has freed back to the system at its end: workers outlive tasks and stages, and an idle one would keep its peak."""
 

@@ -267,6 +267,13 @@ def shares(b: np.ndarray, offsets: np.ndarray, model: Model, penalty: float) ->
     return best, np.where(best >= 0, share.max(axis=1) / np.maximum(1, letters), 0.0), v, doc, label
 
 
+def span_starts(doc: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The first words of the spans of one label in one document."""
+    new = np.ones(len(doc), bool)
+    new[1:] = (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])
+    return np.flatnonzero(new)
+
+
 def labelled_spans(docs: DataFrame, model: Model | None, penalty: float) -> DataFrame:
     """(doc_id, lang_pred, score, n_spans, spans [(start_word, end_word, lang)]) of docs(doc_id, text)."""
     span = pa.struct([("start_word", pa.int64()), ("end_word", pa.int64()), ("lang", pa.string())])
@@ -286,9 +293,7 @@ def labelled_spans(docs: DataFrame, model: Model | None, penalty: float) -> Data
                     parts.append((np.full(n, -1), np.zeros(n), np.zeros(n, np.int64), z, z, z))
                     continue
                 best, score, v, doc, label = shares(b, offsets, model, penalty)
-                new = np.ones(len(doc), bool)
-                new[1:] = (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])
-                at = np.flatnonzero(new)
+                at = span_starts(doc, label)
                 start = at - v.first[doc[at]]
                 end = np.append(at[1:], len(doc)) - v.first[doc[at]]
                 parts.append((best, score, np.bincount(doc[at], minlength=n), start, end, label[at]))
@@ -310,11 +315,12 @@ def language_ids(docs: DataFrame, folds: int = 4, held_out: int = 2, penalty: fl
     return found.withColumn("held_out", fold).select("doc_id", "held_out", "lang_pred", "score", "n_spans", "spans")
 
 
-def of_known_language(docs: DataFrame, min_share: float = 0.5) -> DataFrame:
+def of_known_language(docs: DataFrame, min_share: float = 0.5, least_words: int = 5) -> DataFrame:
     """The rows of docs, all columns, whose text is in the languages of their ``lang`` column, which all of them teach.
 
-    A text is rejected if it has no letters, or if its spans in known languages have less than ``min_share`` of them: words
-    in a script that no language was learned with are in none. Texts of several known languages stay.
+    A text is rejected if it has no letters, or if less than ``min_share`` of them are in spans of known languages. A span
+    counts from ``least_words`` on or if it is the whole text, as the labels of what is in no language change with every few
+    words; words of a script that no language was learned with don't count. Texts of several known languages stay.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     shared, at = docs.sparkSession.sparkContext.broadcast(learn(rows)), docs.columns.index("text")
@@ -325,8 +331,10 @@ def of_known_language(docs: DataFrame, min_share: float = 0.5) -> DataFrame:
             keep = np.zeros(rb.num_rows, bool)
             for lo, hi, b, offsets in t.slices(rb.column(at), model.slice_bytes) if model else ():
                 best, _, v, doc, label = shares(b, offsets, model, PENALTY)
-                inside = model.known[v.script] & (model.allowed[v.script, label] == 0)
-                fits = np.bincount(doc, v.letters * inside, hi - lo)
+                at = span_starts(doc, label)
+                size = np.diff(np.append(at, len(doc)))
+                long = (size >= least_words) | (size == np.diff(v.first)[doc[at]])
+                fits = np.bincount(doc, v.letters * (model.known[v.script] & np.repeat(long, size)), hi - lo)
                 keep[lo:hi] = (best >= 0) & (fits >= min_share * np.bincount(doc, v.letters, hi - lo))
             yield rb.filter(pa.array(keep))
 

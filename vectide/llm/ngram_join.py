@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm import _text as t
-from vectide.llm._spark import Scratch, batch, connected_components, lean
+from vectide.llm._spark import Scratch, batch, connected_components, lean, released
 
 BUCKETS = 1 << 18
 #: Members of a block of classes that are compared in one task.
@@ -398,10 +398,10 @@ def in_blocks(members: DataFrame) -> DataFrame:
     return out.select(F.col("id").alias("class"), F.col("component").alias("group"), (F.least("own", "other") * F.col("k") + F.greatest("own", "other")).alias("part"))
 
 
-def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, text_key, n_shingles, class, component_id) of every row of docs(doc_id, text); sets link when den * |A and B| >= num * |A or B|."""
     spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = scratch or Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     found = scratch.save(survey(docs, n))
     counts = found.where("bucket is not null").groupBy("bucket").agg(F.sum("df").alias("df")).toPandas()  # BUCKETS rows at most
@@ -425,23 +425,34 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     return full.unionAll(rows.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", "class", F.col("doc_id").alias("component_id")))
 
 
+def decided(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key) of the documents that go, and of those that stay but have repeated rows."""
+    work = Scratch(docs.sparkSession)
+    rows = ngram_components(docs, n, num, den, work).where("n_shingles > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    # the class of the component's smallest id names it, also where that id is null
+    kept = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("class")).alias("c")).agg(F.min(order).alias("x"))
+    kept = kept.select(F.col("x.doc_id").alias("kept_id"), F.col("x.text_key").alias("kept_key"))
+    copies = rows.groupBy("doc_id", "text_key").agg((F.count("*") > 1).alias("again"))
+    of = copies.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left")
+    found = scratch.save(of.where("kept_key is null or again").select("doc_id", "text_key", F.col("kept_key").isNull().alias("goes")))
+    work.drop()
+    return found.where("goes").drop("goes"), found.where("not goes").drop("goes")
+
+
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs, all columns, that stay when of every component only one row does.
 
     It is the row with the smallest doc_id (null last), of those the one with the smallest hash of
     its text; documents without n-grams all stay.
     """
-    rows = ngram_components(docs, n, num, den)
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    # the class of the component's smallest id names it, also where that id is null
-    kept = rows.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("class")).alias("c")).agg(F.min(order).alias("x"))
-    kept = kept.select(F.col("x.doc_id").alias("kept_id"), F.col("x.text_key").alias("kept_key"))
-    gone = rows.where("n_shingles > 0").join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    gone, again = decided(docs, n, num, den, Scratch(docs.sparkSession))
+    released(docs.sparkSession)
+    gone, again = gone.toDF("gone_id", "gone_key"), again.toDF("again_id", "again_key")
     # the row as it came is one column, so its names can't clash with those in use here
     keyed = docs.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
     left = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left_anti")
     # repeated rows of a kept document: one stays
-    again = rows.where("n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1").select(F.col("doc_id").alias("again_id"), F.col("text_key").alias("again_key"))
     if again.isEmpty():
         return left.select("whole.*")
     same = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("text_key") == F.col("again_key"))

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from vectide.llm import _text as t
-from vectide.llm._spark import Scratch, batch, lean
+from vectide.llm._spark import Scratch, batch, lean, released
 
 U = np.uint64
 
@@ -304,6 +304,16 @@ def cut(text: str, spans: list[dict], length: int) -> str:
     return kept.lstrip(b"\t\n\v\f\r ").decode() if spans[0]["start_word"] == 0 else kept.decode()
 
 
+def removable_spans(rows: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """(span_id, span_key, spans [(start_word, end_word)]) of rows(doc_id, key, text): what others have first. Written; all that led to it is gone."""
+    work = Scratch(rows.sparkSession)
+    found = merged(repeated_runs(rows, length, scratch=work).where("removable"), length)
+    spans = found.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("spans"))
+    out = scratch.save(spans.select(F.col("doc_id").alias("span_id"), F.col("key").alias("span_key"), "spans"))
+    work.drop()
+    return out
+
+
 def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """docs with all but the first place of every repeated passage cut out of ``text``; n_chars, if there is one, follows.
 
@@ -323,9 +333,8 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         once = numbered.join(first, F.col("number") == F.col("first"), "left_semi").drop("number")
         others = numbered.join(first, F.col("number") == F.col("first"), "left_anti").drop("number")
         rows = rows.join(twice, same, "left_anti").unionAll(once)
-    found = repeated_runs(rows, length, scratch=scratch).where("removable")
-    spans = merged(found, length).groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("span_id"), F.col("key").alias("span_key"), "spans")
+    spans = removable_spans(rows, length, scratch)
+    released(docs.sparkSession)
     rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.col("key") == F.col("span_key")), "left").select("whole", "spans")
     if others is not None:
         everything = F.array(F.struct(F.lit(-1).cast("long").alias("start_word"), F.lit(-1).cast("long").alias("end_word")))
