@@ -331,9 +331,9 @@ def of_known_language(docs: DataFrame, min_share: float = 0.5, least_words: int
             keep = np.zeros(rb.num_rows, bool)
             for lo, hi, b, offsets in t.slices(rb.column(at), model.slice_bytes) if model else ():
                 best, _, v, doc, label = shares(b, offsets, model, PENALTY)
-                at = span_starts(doc, label)
-                size = np.diff(np.append(at, len(doc)))
-                long = (size >= least_words) | (size == np.diff(v.first)[doc[at]])
+                start = span_starts(doc, label)
+                size = np.diff(np.append(start, len(doc)))
+                long = (size >= least_words) | (size == np.diff(v.first)[doc[start]])
                 fits = np.bincount(doc, v.letters * (model.known[v.script] & np.repeat(long, size)), hi - lo)
                 keep[lo:hi] = (best >= 0) & (fits >= min_share * np.bincount(doc, v.letters, hi - lo))
             yield rb.filter(pa.array(keep))
