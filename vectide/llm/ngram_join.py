@@ -448,7 +448,8 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     """
     gone, again = decided(docs, n, num, den, Scratch(docs.sparkSession))
     released(docs.sparkSession)
-    gone, again = gone.toDF("gone_id", "gone_key"), again.toDF("again_id", "again_key")
+    # by one way at every size: texts are shuffled once, and what goes is not broadcast where it happens to be small
+    gone, again = gone.toDF("gone_id", "gone_key").hint("merge"), again.toDF("again_id", "again_key")
     # the row as it came is one column, so its names can't clash with those in use here
     keyed = docs.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
     left = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left_anti")

@@ -335,7 +335,8 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         rows = rows.join(twice, same, "left_anti").unionAll(once)
     spans = removable_spans(rows, length, scratch)
     released(docs.sparkSession)
-    rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.col("key") == F.col("span_key")), "left").select("whole", "spans")
+    # by one way at every size: texts are shuffled once, and spans are not broadcast where they happen to be few
+    rows = rows.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.col("key") == F.col("span_key")), "left").select("whole", "spans")
     if others is not None:
         everything = F.array(F.struct(F.lit(-1).cast("long").alias("start_word"), F.lit(-1).cast("long").alias("end_word")))
         rows = rows.unionAll(others.select("whole", everything.alias("spans")))
