@@ -273,7 +273,7 @@ def decoded(data: bytes, kind: type = np.float64) -> np.ndarray:
 
 
 #: Bytes of text that a task gathers, by home, before it sends them.
-GATHER_BYTES = 1 << 24
+GATHER_BYTES = 1 << 23
 TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("scored", pa.bool_()), ("trains", pa.bool_())])
 
 
@@ -348,9 +348,9 @@ def sent(texts: DataFrame, order: int, split: int, parts: int) -> DataFrame:
                     for _, _, grams, _, _ in streams(rows.column(1).filter(chosen), order):
                         keys, n = np.unique(grams, return_counts=True)
                         own.append((keys, n if learn else np.zeros(len(keys), np.int64)))
-                if sum(len(k) for k, _ in own) > 6_000_000:
+                if sum(len(k) for k, _ in own) > 4_000_000:
                     own = [merged(own)]
-                    if len(own[0][0]) > 3_000_000:
+                    if len(own[0][0]) > 2_000_000:
                         yield from send(at, own)
                         own = []
         if own:
