@@ -77,13 +77,13 @@ def streams(column: pa.Array, order: int, limit: int = t.SLICE_BYTES // 2) -> It
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys of (keys, counts) with their sums."""
-    keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]).astype(np.int64)
+    keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
     if not len(keys):
-        return keys, n
+        return keys, n.astype(np.int64)
     order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(n[order], first)
+    return keys[first], np.add.reduceat(n[order], first, dtype=np.int64)
 
 
 def corpus_counts(docs: DataFrame, order: int) -> DataFrame:
@@ -347,8 +347,9 @@ def sent(texts: DataFrame, order: int, split: int, parts: int) -> DataFrame:
                     chosen = rows.column(3) if learn else pc.invert(rows.column(3))
                     for _, _, grams, _, _ in streams(rows.column(1).filter(chosen), order):
                         keys, n = np.unique(grams, return_counts=True)
-                        own.append((keys, n if learn else np.zeros(len(keys), np.int64)))
-                if sum(len(k) for k, _ in own) > 4_000_000:
+                        # a slice has fewer than 2**31 places
+                        own.append((keys, n.astype(np.int32) if learn else np.zeros(len(keys), np.int32)))
+                if sum(len(k) for k, _ in own) > 3_000_000:
                     own = [merged(own)]
                     if len(own[0][0]) > 2_000_000:
                         yield from send(at, own)
