@@ -248,9 +248,9 @@ def planes(values: np.ndarray) -> bytes:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Values of eight bytes, compressed."""
+    """Values, compressed."""
     raw = planes(values)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
 def unpacked(data: bytes, kind: type = np.uint64) -> np.ndarray:
@@ -261,10 +261,13 @@ def unpacked(data: bytes, kind: type = np.uint64) -> np.ndarray:
 
 
 def coded(values: np.ndarray) -> bytes:
-    """packed() for values of which many are equal: the distinct ones and their numbers."""
-    distinct, number = np.unique(values, return_inverse=True)
-    table = packed(distinct)
-    return len(table).to_bytes(8, "little") + table + packed(number.astype(np.uint32))
+    """packed() for values of which many are equal: the distinct ones and their numbers, small for frequent values."""
+    distinct, number, times = np.unique(values, return_inverse=True, return_counts=True)
+    by = np.argsort(-times, kind="stable")
+    rank = np.empty(len(by), np.uint32)
+    rank[by] = np.arange(len(by), dtype=np.uint32)
+    table = packed(distinct[by])
+    return len(table).to_bytes(8, "little") + table + packed(rank[number])
 
 
 def decoded(data: bytes, kind: type = np.float64) -> np.ndarray:
@@ -320,6 +323,11 @@ def part_of(grams: np.ndarray, split: int, parts: int) -> np.ndarray:
     return (t.mix64((grams >> U(8)) & U((1 << (8 * split)) - 1)) % U(parts)).astype(np.int32)
 
 
+def trie_order(grams: np.ndarray) -> np.ndarray:
+    """Keys that sort n-grams by their contexts, nearest byte first, and then by symbol: those of a part, which share near bytes, lie close."""
+    return (grams >> U(8)).byteswap() | (grams & U(255))
+
+
 def sent(texts: DataFrame, order: int, split: int, parts: int) -> DataFrame:
     """(part, home, grams, counts) of gathered() texts: the distinct n-grams of a home that fall to a part, and how often training texts have them."""
     schema = pa.schema([("part", pa.int32()), ("home", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
@@ -327,7 +335,7 @@ def sent(texts: DataFrame, order: int, split: int, parts: int) -> DataFrame:
     def send(home: int, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         grams, counts = merged(held)
         part = part_of(grams, split, parts)
-        by = np.argsort(part, kind="stable")
+        by = np.lexsort((trie_order(grams), part))
         grams, counts = grams[by], counts[by]
         there, first = np.unique(part[by], return_index=True)
         ends = np.append(first[1:], len(grams))
