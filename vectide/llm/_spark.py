@@ -70,17 +70,22 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def given_back() -> None:
+    """Gives what a task has freed back to the system: workers outlive tasks and stages, and an idle one would keep its peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """f for mapInArrow, giving what a task has freed back to the system at its end: workers outlive tasks and stages, and an idle one would keep its peak."""
+    """f for mapInArrow, with given_back() at the end of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from f(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            given_back()
 
     return run
 

@@ -39,12 +39,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm import _text as t
-from vectide.llm._spark import Scratch, batch, crc_mod, lean
+from vectide.llm._spark import Scratch, batch, crc_mod, given_back, lean
 
 U = np.uint64
 START, END, SYMBOLS = 0xFE, 0xFF, 255  # the bytes 00-FD and the end; a start is never predicted
@@ -412,7 +411,8 @@ def _scores(texts: DataFrame, order: int, hot_words: int) -> DataFrame:
     texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "scored", "trains")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // HOME_BYTES + 1)
-    texts = texts.withColumn("home", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
+    # with the task's number, as a row may be repeated in all of them
+    texts = texts.withColumn("home", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(parts)).cast("int"))
     summed = scratch.save(corpus_counts(texts.where("trains"), max(split - 1, 0)).groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words = summed.where("kind = 1").select("key", "n")
     size = summed.where("kind > 0").agg(F.sum("n").alias("tokens"), F.count_if((F.col("kind") == 1) | (F.col("n") > 0)).alias("types"), F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("ends")).first()
@@ -421,35 +421,24 @@ def _scores(texts: DataFrame, order: int, hot_words: int) -> DataFrame:
     low = [merged([(np.ascontiguousarray(least["key"].to_numpy()).view(np.uint64), least["n"].to_numpy())])]
     for j in range(split - 1, 0, -1):
         low.insert(0, shorter(*low[0], j))
-    packs = gathered(texts)
-    blocks = sent(packs.repartitionById(parts, F.col("home")).sortWithinPartitions("home"), order, split, parts)
+    # texts are sent home once: both readers have the same exchange
+    packs = gathered(texts).repartitionById(parts, F.col("home"))
+    blocks = sent(packs.sortWithinPartitions("home"), order, split, parts)
     answers = answered(blocks.repartitionById(parts, F.col("part")).sortWithinPartitions("part"), low[:split], order, split)
     top = words.orderBy(F.desc("n"), "key").limit(hot_words).toArrow()
     hot = sc.broadcast((t.HashTable(np.ascontiguousarray(top["key"].to_numpy()).view(np.uint64)), top["n"].to_numpy()))
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 
-    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[t.HashTable, np.ndarray, pa.RecordBatch]]:
-        """The texts of a home, block by block, with its n-grams and their costs; answers come before texts."""
-        at, held, model, costs = None, [], None, None
-        for rb in batches:
-            for home, block, grams, cost in zip(rb.column(0).to_pylist(), *(rb.column(i) for i in (1, 2, 3)), strict=True):
-                if home != at:
-                    at, held, model, costs = home, [], None, None
-                if not block.is_valid:
-                    held.append((unpacked(grams.as_py()), decoded(cost.as_py())))
-                    continue
-                if model is None:
-                    # an n-gram that was sent twice has the same cost twice
-                    costs = np.concatenate([c for _, c in held])
-                    model, held = t.HashTable(np.concatenate([g for g, _ in held])), []
-                rows = rows_of(block.as_py())
-                yield model, costs, rows.filter(rows.column(2))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(home: int, own: pa.Table, answers: pa.Table) -> Iterator[pa.RecordBatch]:
         table, count = hot.value
         logs, end_log = np.log10(count + 0.5), np.log10(ends + 0.5)
-        row = TaskContext.get().partitionId() << 33
-        for model, costs, rb in homes(batches):
+        # an n-gram that was sent twice has the same cost twice
+        model = t.HashTable(np.concatenate([unpacked(g.as_py()) for g in answers.column("grams")]))
+        costs = np.concatenate([decoded(c.as_py()) for c in answers.column("costs")])
+        row = home << 33
+        for block in own.column("texts"):
+            rb = rows_of(block.as_py())
+            rb = rb.filter(rb.column(2))
             for lo, hi, grams, begins, (b, offsets) in streams(rb.column(1), order):
                 n = hi - lo
                 at = model.find(grams)
@@ -473,11 +462,14 @@ def _scores(texts: DataFrame, order: int, hot_words: int) -> DataFrame:
                 yield batch(schema, np.arange(row, row + n), rb.column(0).slice(lo, n), tokens_here + 1, known[first[1:]] - known[first[:-1]] + (ends > 0), value[first[1:]] - value[first[:-1]] + end_log, score, *lists)
                 row += n
 
-    none = F.lit(None).cast("binary")
-    docs = packs.select("home", "texts", none.alias("grams"), none.alias("costs"))
-    docs = docs.unionByName(answers.select("home", none.alias("texts"), "grams", "costs"))
-    docs = docs.repartitionById(parts, F.col("home")).sortWithinPartitions("home", F.col("texts").isNotNull())
-    found = scratch.save(docs.mapInArrow(lean(run), "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<long>, times array<long>"))
+    def run(key: tuple[pa.Scalar, ...], own: pa.Table, answers: pa.Table) -> pa.Table:
+        try:
+            return pa.Table.from_batches(rows(key[0].as_py(), own, answers), schema)
+        finally:
+            given_back()
+
+    at_home = packs.groupBy("home").cogroup(answers.repartitionById(parts, F.col("home")).groupBy("home"))
+    found = scratch.save(at_home.applyInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<long>, times array<long>"))
     rare = found.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     n = F.coalesce("n", F.lit(0))
     rare = rare.join(words, "key", "left").groupBy("row").agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10(n + 0.5)).alias("more_base"))
