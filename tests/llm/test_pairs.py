@@ -60,6 +60,18 @@ def test_blocks_give_the_same(docs, documents, monkeypatch):
     assert Counter(map(tuple, got)) == components(documents, 2, 50, 100)
 
 
+def test_blocks_meet_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 2)
+    members = [(100 * g + i, g) for g, m in enumerate((1, 2, 3, 4, 5, 9, 16)) for i in range(m)]
+    parts = defaultdict(list)
+    for r in J.in_blocks(spark.createDataFrame(members, "id long, component long")).collect():
+        parts[r["group"], r["part"]].append((r["class"], r["own"], r["inner"]))
+    met = Counter()
+    for own in parts.values():
+        met.update(tuple(sorted((a, b))) for i, (a, x, inner) in enumerate(own) for b, y, _ in own[:i] if x != y or inner)
+    assert met == Counter({(a, b): 1 for a, g in members for b, h in members if g == h and a < b})
+
+
 def test_flood_gives_the_same(docs, documents, monkeypatch):
     monkeypatch.setattr(J, "MANY", 3)
     got = J.ngram_components(docs, 2, 50, 100).select("doc_id", "n_shingles", "component_id").collect()

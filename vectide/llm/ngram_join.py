@@ -18,9 +18,9 @@ sixteenth of all documents are known by a table of 2**18 bucket counts (a fixed
 2 MB, counted over all documents) and are not shuffled to be counted. Pairs are
 formed inside a sorted stream of prefix n-grams and leave it as a spanning
 forest, never as all pairs. Classes whose candidates hang together are verified
-side by side: each class is read once, in blocks where a group is large, and a
-pair whose classes are linked already is not compared again, as it cannot change
-a component. Evicting by the length filter bounds what a stream holds. n-grams
+side by side, in pairs of blocks where a group is large; every pair is met in one
+place only and left out if its classes are linked there already, as it then cannot
+change a component. Evicting by the length filter bounds what a stream holds. n-grams
 and sets are known by 64-bit hashes; two different sets of n documents collide
 with a chance below n**2 / 2**65.
 
@@ -327,10 +327,13 @@ def class_filter(classes: DataFrame) -> np.ndarray:
 
 
 def verified(groups: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): links that connect the classes of each group (group, part, class, size, members) as all its links do."""
+    """(a, b): links that connect the classes of each group (group, part, own, inner, class, size, members) as all its links do.
+
+    Pairs of two blocks are compared in their part, pairs within a block only where it is ``inner``.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def links(names: np.ndarray, sizes: np.ndarray, blobs: list[bytes]) -> list[tuple[int, int]]:
+    def links(names: np.ndarray, sizes: np.ndarray, own: np.ndarray, inner: np.ndarray, blobs: list[bytes]) -> list[tuple[int, int]]:
         tokens = np.frombuffer(b"".join(blobs), np.uint64)
         _, ids = np.unique(tokens, return_inverse=True)
         ends = np.cumsum(sizes)
@@ -339,7 +342,7 @@ def verified(groups: DataFrame, num: int, den: int) -> DataFrame:
         mark, label, out = np.zeros(int(ids.max()) + 1, bool), np.arange(m), []
         for i in range(m - 1):
             js = np.arange(i + 1, m)
-            js = js[(sizes[js] * num <= sizes[i] * den) & (label[js] != label[i])]
+            js = js[(sizes[js] * num <= sizes[i] * den) & (label[js] != label[i]) & (inner[i] | (own[js] != own[i]))]
             if not len(js):
                 continue
             need = min_overlap(sizes[i], sizes[js], num, den)
@@ -348,33 +351,42 @@ def verified(groups: DataFrame, num: int, den: int) -> DataFrame:
             if not len(js):
                 continue
             mark[ids[begins[i] : ends[i]]] = True
-            flat = np.concatenate([ids[begins[j] : ends[j]] for j in js])
-            cuts = np.cumsum(sizes[js]) - sizes[js]
-            for j in js[np.add.reduceat(mark[flat].astype(np.int64), cuts) >= need]:
-                if label[j] != label[i]:
-                    label[label == label[j]] = label[i]
-                    out.append((int(names[i]), int(names[j])))
+            step = 16
+            while len(js):  # the first links often settle the others
+                now = js[:step]
+                flat = np.concatenate([ids[begins[j] : ends[j]] for j in now])
+                cuts = np.cumsum(sizes[now]) - sizes[now]
+                for j in now[np.add.reduceat(mark[flat].astype(np.int64), cuts) >= need[:step]]:
+                    if label[j] != label[i]:
+                        label[label == label[j]] = label[i]
+                        out.append((int(names[i]), int(names[j])))
+                js, need = js[step:], need[step:]
+                open_ = label[js] != label[i]
+                js, need = js[open_], need[open_]
+                step *= 2
             mark[ids[begins[i] : ends[i]]] = False
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, names, sizes, blobs = None, [], [], []
+        key, names, sizes, own, inner, blobs = None, [], [], [], [], []
         out: list[tuple[int, int]] = []
 
         def flush() -> None:
             if len(names) > 1:
-                out.extend(links(np.array(names), np.array(sizes, np.int64), blobs))
-            for x in (names, sizes, blobs):
+                out.extend(links(np.array(names), np.array(sizes, np.int64), np.array(own), np.array(inner), blobs))
+            for x in (names, sizes, own, inner, blobs):
                 x.clear()
 
         for rb in batches:
-            for g, p, c, s, m in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+            for g, p, o, within, c, s, m in zip(*(c.to_pylist() for c in rb.columns), strict=True):
                 if (g, p) != key:
                     flush()
                     key = (g, p)
                 if not names or names[-1] != c:
                     names.append(c)
                     sizes.append(s)
+                    own.append(o)
+                    inner.append(within)
                     blobs.append(m)
             if out:
                 yield batch(schema, *zip(*out, strict=True))
@@ -383,19 +395,24 @@ def verified(groups: DataFrame, num: int, den: int) -> DataFrame:
         if out:
             yield batch(schema, *zip(*out, strict=True))
 
-    columns = groups.select("group", "part", "class", "size", "members")
+    columns = groups.select("group", "part", "own", "inner", "class", "size", "members")
     return columns.repartition("group", "part").sortWithinPartitions("group", "part", "size", "class").mapInArrow(lean(run), "a long, b long")
 
 
 def in_blocks(members: DataFrame) -> DataFrame:
-    """(class, group, part): members(id, component) of candidate groups, dealt to all pairs of blocks where a group has over BLOCK members."""
+    """(class, group, part, own, inner): members(id, component) of candidate groups, dealt to all pairs of blocks where a group has over BLOCK members.
+
+    own is the class's block. Its pairs within the block are compared in one part, with the next block, where inner is true.
+    """
     sizes = members.groupBy("component").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("long")
     out = members.join(sizes, "component").withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")))
-    # a pair of blocks (x, y), x <= y, is part x * k + y; the block's own pairs are in every part it is in
+    # a pair of blocks (x, y), x < y, is part x * k + y; the last block's next one is the first
     other = F.when(F.col("k") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
     out = out.withColumn("other", F.explode(other)).where("k = 1 or own <> other")
-    return out.select(F.col("id").alias("class"), F.col("component").alias("group"), (F.least("own", "other") * F.col("k") + F.greatest("own", "other")).alias("part"))
+    part = F.least("own", "other") * F.col("k") + F.greatest("own", "other")
+    inner = F.col("other") == (F.col("own") + 1) % F.col("k")
+    return out.select(F.col("id").alias("class"), F.col("component").alias("group"), part.alias("part"), "own", inner.alias("inner"))
 
 
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
