@@ -21,7 +21,9 @@ the input needs; texts, n-grams and costs travel in compressed blocks. A home se
 to the part, with their counts in training texts; the part has whole sub-tries of
 its contexts, works out the cost of every n-gram it was sent and answers each home;
 a home then scores its texts by look-up among the answers to its own n-grams. So a
-task holds the n-grams of one home or of one part, never the trie. N-grams of up to
+task holds the n-grams of one home, with its texts, or of one part, never the trie.
+Rows are dealt to homes by task too, so that a row that is repeated in all tasks
+doesn't end up in one home. N-grams of up to
 three bytes, whose number the alphabet bounds, go to every part. Word counts are
 looked up in two tiers: a broadcast table of the ``hot_words`` most frequent words
 and, for the rest, one join of the distinct rare words of each text.
